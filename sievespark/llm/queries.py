@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, token_counts, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 #: DuckDB. The caps are reached one source after another in the order of cap to weight, as in ``mixing.targets``.
@@ -32,18 +34,18 @@ FROM p
 #: DuckDB has no CRC-32: its table of 256 follows from the polynomial, and each text's bytes run through it.
 _OP4 = r"""
 WITH RECURSIVE
-poly AS (SELECT list_transform(range(0, 256), lambda v: list_reduce(range(0, 9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS t),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 0)::BIGINT AS k, coalesce(text, '') AS text FROM documents),
+poly AS (SELECT list_transform(range(0, 256), lambda v: list_reduce(list_prepend(v, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 0)::BIGINT AS k, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 walk AS (
   SELECT r, CASE WHEN k < 0 THEN k::HUGEINT + 18446744073709551616::HUGEINT ELSE k::HUGEINT END::UHUGEINT AS state, -1::BIGINT AS b, 0::BIGINT AS j FROM d
   UNION ALL
   SELECT r, n, j, floor((j + 1) * (2147483648::DOUBLE / ((n >> 33) + 1)::DOUBLE))::BIGINT
   FROM (SELECT r, (state * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS n, j FROM walk WHERE j < 25)),
-at AS (SELECT r, max(CASE WHEN b < 24 THEN b END)::INTEGER AS shard, max(CASE WHEN b < 25 THEN b END)::INTEGER AS grown_shard FROM walk GROUP BY r)
-SELECT doc_id, (octet_length(encode(text)) + 8)::BIGINT AS size,
-       xor(list_reduce(list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32,
+goal AS (SELECT r, max(CASE WHEN b < 24 THEN b END)::INTEGER AS shard, max(CASE WHEN b < 25 THEN b END)::INTEGER AS grown_shard FROM walk GROUP BY r)
+SELECT doc_id, (n + 8)::BIGINT AS size,
+       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
        'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ((k % 1024) + 1024) % 1024, k) - 1)::BIGINT AS slot, grown_shard
-FROM d JOIN at USING (r), poly
+FROM d JOIN goal USING (r), poly
 """
 
-ORACLES = {"op7_mix_sources": _OP7}
+ORACLES = {"op4_jump_sharding": _OP4, "op7_mix_sources": _OP7}
