@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash, token_counts, token_files
+from . import media, mixing, sharding, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_golay_simhash": simhash.op5_golay_simhash,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_media_columns": media.op9_media_columns,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
