@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, sharding, simhash, token_counts, token_files
+from . import language, media, mixing, neighbours, sharding, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_projected_neighbours": neighbours.op2_projected_neighbours,
+    "op3_language_id": language.op3_language_id,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_golay_simhash": simhash.op5_golay_simhash,
     "op7_mix_sources": mixing.op7_mix_sources,
