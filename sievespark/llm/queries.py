@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, neighbours, sharding, simhash, token_counts, token_files
+from . import language, media, mixing, neighbours, passages, pieces, sharding, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_jump_sharding": sharding.op4_jump_sharding,
     "op5_golay_simhash": simhash.op5_golay_simhash,
+    "op6_repeated_passages": passages.op6_repeated_passages,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_piece_viterbi": pieces.op8_piece_viterbi,
     "op9_media_columns": media.op9_media_columns,
     "op10_token_counts": token_counts.op10_token_counts,
 }
