@@ -8,12 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words remembered by a worker. When full, the memory is emptied and filled again; results do not depend on it.
-MEMORY = 400_000
+#: Words remembered by a worker, as they stand and as stems. What is full loses its older half; results do not depend on it.
+MEMORY, STEMS = 400_000, 1_200_000
 #: Characters of text handled at a time.
 CHUNK = 1 << 20
 
 _plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:|]")
+_letters = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 def chunks(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
@@ -37,47 +38,60 @@ class WordIds:
     ASCII words are looked up in lower case, as the normaliser lowers them.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY, stems: int = STEMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memory, self.known = memory, {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.memory, self.stems, self.known = memory, stems, {}
+        self.young, self.old = {}, {}
+
+    def _learn(self, stems: list[str]) -> None:
+        """Encodes new stems. Words of lower-case letters are one pre-token each, whose last piece alone ends a word: many
+        of them are encoded as one text and told apart by their ends."""
+        plain = [s for s in stems if _letters.fullmatch(s)]
+        rest = [s for s in stems if not _letters.fullmatch(s)]
+        lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for words, code in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, self.dtype)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(words) or stops[-1] != len(ids):
+                rest += words
+                continue
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            self.young.update((w, raw[a * size : b * size]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for stem, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.young[stem] = np.array(code.ids, self.dtype).tobytes()
 
     def _add(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) + len(words) > self.memory:
-            known.clear()
         parts = {w: (w[:-1], w[-1]) if _plain.fullmatch(w) else (w,) for w in words}
         parts = {w: tuple(p.lower() if p.isascii() else p for p in ps) for w, ps in parts.items()}
-        new = list({p for ps in parts.values() for p in ps} - known.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for part, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = np.array(code.ids, self.dtype).tobytes()
+        stems = {p for ps in parts.values() for p in ps} - self.young.keys()
+        kept = {s: self.old[s] for s in stems & self.old.keys()}
+        if len(self.young) + len(stems) > self.stems // 2:
+            kept |= {p: self.young[p] for ps in parts.values() for p in ps if p in self.young}
+            self.young, self.old = {}, self.young
+        self.young.update(kept)
+        self._learn(list(stems - kept.keys()))
         for w, ps in parts.items():
-            known[w] = b"".join([known[p] for p in ps])
+            self.known[w] = b"".join([self.young[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``dtype``."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        known = self.known
-        missing = words - known.keys()
-        if len(known) + 2 * len(missing) > self.memory:
-            known.clear()
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > self.memory:
+            self.known.clear()
             missing = words
         if missing:
-            self._add_all(missing)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
-
-    def _add_all(self, words: set[str]) -> None:
-        limit, self.memory = self.memory, 1 << 62  # the words of one chunk stay together
-        try:
-            self._add(words)
-        finally:
-            self.memory = limit
+            self._add(missing)
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 class PieceCounts:

@@ -18,6 +18,8 @@ OVERLAP = max(WIDTHS) - 1
 #: Bounds of the training sample: documents a language, windows a document, languages (the most frequent).
 PER_LANG, PER_DOC, LANGS = 500, 4, 100
 BLOCK = 128
+#: A document is of a known language if its probability is at least this.
+LEAST_SCORE = 0.5
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -161,7 +163,8 @@ def _judged(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for text, letters in zip(batch.column("text"), batch.column("letters").to_pylist(), strict=True):
+            names = [c for c in batch.schema.names if c not in ("__text", "__letters")]
+            for text, letters in zip(batch.column("text" if "text" in names else "__text"), batch.column("__letters").to_pylist(), strict=True):
                 if not letters:
                     langs.append("und")
                     scores.append(0.0)
@@ -174,9 +177,7 @@ def _judged(net: Network):
                 best = int(mean.argmax())
                 langs.append(net.langs[best])
                 scores.append(min(1.0, float(mean[best])))
-            kept = [batch.column(c) for c in batch.schema.names if c not in ("text", "letters")]
-            names = [c for c in batch.schema.names if c not in ("text", "letters")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -188,11 +189,20 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     the text is looked at.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    rows = docs.select(*keep, F.col("text").alias("text"), letters.alias("letters"))
+    rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")]), letters.alias("__letters"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
     return rows.mapInArrow(_judged(net), schema)
 
 
+def only_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those whose language cannot be told: ``und``, or a score below ``least``.
+
+    What is rejected is no language the labels know: no letters at all, or none of their probabilities above one half.
+    """
+    judged = predict(docs, fit(docs), [c for c in docs.columns if c not in ("lang_pred", "score")])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs.withColumn("held_out", held_out()), fit(docs), ["doc_id", "held_out"])
