@@ -1 +1 @@
-
+"""Scalar functions on ids, words and policies."""

@@ -1 +1 @@
-
+"""Sets kept up to date by streams."""
