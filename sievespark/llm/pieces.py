@@ -100,7 +100,7 @@ class Pieces:
                 words = [w[1:] if w.rfind(SPACE) == 0 and len(w) > 1 else w for w in words]
             split.append(words)
         every = set().union(*split)
-        missing = every - self.ids.keys()
+        missing = every.difference(self.ids)
         if len(self.ids) + len(missing) > self.memory:
             self.ids.clear()
             self.scores.clear()
