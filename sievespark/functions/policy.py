@@ -34,13 +34,13 @@ def promotes(containers: Column, universe: Column) -> Column:
     return containers * BITMAP_BYTES * 2 < F.floor((universe + 7) / 8)
 
 
-def encoding(card: Column, runs: Column, threshold: int = KEEP) -> Column:
+def encoding(card: Column, runs: Column, threshold: int = KEEP, with_runs: bool | None = None) -> Column:
     """RUN where runs take fewer bytes than the other two encodings, else BITMAP above the threshold, else ARRAY.
 
-    A threshold other than KEEP promotes: above it a container is a bitmap, whatever its runs.
+    Without runs, which is the rule for a threshold other than KEEP, containers above it are bitmaps whatever their runs.
     """
     plain = F.when(card > threshold, F.lit(BITMAP)).otherwise(F.lit(ARRAY))
-    if threshold != KEEP:
+    if not (threshold == KEEP if with_runs is None else with_runs):
         return plain
     return F.when(2 + 4 * runs < F.least(F.lit(BITMAP_BYTES), 2 * card + 2), F.lit(RUN)).otherwise(plain)
 

@@ -26,14 +26,14 @@ def sizes(members: DataFrame) -> DataFrame:
     return found.agg(F.sum(F.col("length") + 1).cast("int").alias("card"), F.count(F.lit(1)).cast("int").alias("n_runs"))
 
 
-def build(members: DataFrame, threshold: int = KEEP) -> DataFrame:
+def build(members: DataFrame, threshold: int = KEEP, with_runs: bool | None = None) -> DataFrame:
     """Containers with their payload. A container is at most 65,536 ids, so a payload is bounded whatever the set."""
     found = runs(members)
     each = found.groupBy("filter_id", "key").agg(
         F.sum(F.col("length") + 1).cast("int").alias("card"), F.count(F.lit(1)).cast("int").alias("n_runs"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")
     )
     lows = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"])))
-    each = each.withColumn("ctype", encoding(F.col("card"), F.col("n_runs"), threshold)).withColumn("lows", F.when(F.col("ctype") != RUN, lows))
+    each = each.withColumn("ctype", encoding(F.col("card"), F.col("n_runs"), threshold, with_runs)).withColumn("lows", F.when(F.col("ctype") != RUN, lows))
     words = members.groupBy("filter_id", key_of(F.col("id")).alias("key"), F.shiftright(low_of(F.col("id")), 5).alias("pos")).agg(F.bit_or(bit_of(F.col("id"))).alias("word"))
     words = words.groupBy("filter_id", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
     out = each.join(words, ["filter_id", "key"])
@@ -52,7 +52,7 @@ def members(containers: DataFrame) -> DataFrame:
 def promote(containers: DataFrame, threshold: int = 0) -> DataFrame:
     """Re-encodes: containers of more ids than ``threshold`` become bitmaps, the others stay. The sets stay the same."""
     low = containers.where((F.col("ctype") != BITMAP) & (F.col("card") > threshold))
-    bitmaps = build(members(low), 0) if threshold == 0 else build(members(low), threshold)
+    bitmaps = build(members(low), threshold, with_runs=False)
     kept = containers.where((F.col("ctype") == BITMAP) | (F.col("card") <= threshold))
     return kept.unionByName(bitmaps)
 
