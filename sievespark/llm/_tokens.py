@@ -13,8 +13,9 @@ MEMORY, STEMS = 400_000, 1_200_000
 #: Characters of text handled at a time.
 CHUNK = 1 << 20
 
-_plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?;:|]")
-_letters = re.compile(r"[a-zà-öø-ÿ]+")
+MARKS = ".,!?;:|"
+_letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_lower = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 def chunks(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
@@ -34,8 +35,8 @@ class WordIds:
     """Ids of a tokenizer of the library ``tokenizers`` whose pre-tokens never cross white space.
 
     The text's spaces and line feeds, which its normaliser treats alike, cut it into words; each word's ids are the
-    library's own. A word of Latin-1 letters and one closing mark is two pre-tokens and is put together from them, and
-    ASCII words are looked up in lower case, as the normaliser lowers them.
+    library's own. A word of Latin-1 letters and closing marks is two pre-tokens and is put together from them; Latin-1
+    and ASCII words are looked up in lower case, as the normaliser lowers them.
     """
 
     def __init__(self, path: str, memory: int = MEMORY, stems: int = STEMS):
@@ -52,8 +53,8 @@ class WordIds:
     def _learn(self, stems: list[str]) -> None:
         """Encodes new stems. Words of lower-case letters are one pre-token each, whose last piece alone ends a word: many
         of them are encoded as one text and told apart by their ends."""
-        plain = [s for s in stems if _letters.fullmatch(s)]
-        rest = [s for s in stems if not _letters.fullmatch(s)]
+        plain = [s for s in stems if _lower.fullmatch(s)]
+        rest = [s for s in stems if not _lower.fullmatch(s)]
         lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
         for words, code in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
             ids = np.array(code.ids, self.dtype)
@@ -69,23 +70,42 @@ class WordIds:
                 self.young[stem] = np.array(code.ids, self.dtype).tobytes()
 
     def _add(self, words: set[str]) -> None:
-        parts = {w: (w[:-1], w[-1]) if _plain.fullmatch(w) else (w,) for w in words}
-        parts = {w: tuple(p.lower() if p.isascii() else p for p in ps) for w, ps in parts.items()}
-        stems = {p for ps in parts.values() for p in ps} - self.young.keys()
-        kept = {s: self.old[s] for s in stems & self.old.keys()}
-        if len(self.young) + len(stems) > self.stems // 2:
-            kept |= {p: self.young[p] for ps in parts.values() for p in ps if p in self.young}
+        if len(self.young) > self.stems // 2:
             self.young, self.old = {}, self.young
-        self.young.update(kept)
-        self._learn(list(stems - kept.keys()))
-        for w, ps in parts.items():
-            self.known[w] = b"".join([self.young[p] for p in ps])
+        known, young, old, letters = self.known, self.young, self.old, _letters.fullmatch
+        waiting = []
+        known[""] = b""
+        for word in words:
+            if not word:
+                continue
+            stem = word.rstrip(MARKS)
+            if letters(stem):
+                mark, stem = word[len(stem) :], stem.lower()
+            else:
+                mark, stem = "", word.lower() if word.isascii() else word
+            code = young.get(stem)
+            if code is None:
+                code = old.get(stem)
+                if code is None:
+                    waiting.append((word, stem, mark))
+                    continue
+                young[stem] = code
+            if mark:
+                end = young.get(mark)
+                if end is None:
+                    waiting.append((word, stem, mark))
+                    continue
+                code += end
+            known[word] = code
+        self._learn(list({part for _, *parts in waiting for part in parts if part and part not in young}))
+        for word, stem, mark in waiting:
+            known[word] = young[stem] + young[mark] if mark else young[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``dtype``."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        missing = words - self.known.keys()
+        missing = words.difference(self.known)
         if len(self.known) + len(missing) > self.memory:
             self.known.clear()
             missing = words
@@ -116,7 +136,7 @@ class PieceCounts:
             split[k] = []
         words = set().union(*split)
         known = self.known
-        missing = words - known.keys()
+        missing = words.difference(known)
         if len(known) + len(missing) > self.memory:
             known.clear()
             missing = words
