@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, text_or_empty
+from ._shared import new_path, text_or_empty, written
 from ._tokens import PieceCounts, chunks, once
 
 LIMIT = 4096
@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, model: str, cache: str, text: str = "text") ->
         keyed = keyed.join(known, "digest", "left_anti")
     misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses.mapInArrow(_counted(model), "digest binary, n_tokens long").write.mode("append").parquet(path)
-    known = _read(spark, path)
+    known = written(_read(spark, path), "counts")  # a join of two plain shuffles: a group of copies can be split
     rest = [c for c in docs.columns if c.lower() not in ("digest", "n_bytes", "n_tokens")]
     out = docs.select(*rest, digest(content).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     return out.join(known, "digest").select(*rest, "digest", "n_bytes", "n_tokens")
