@@ -21,8 +21,10 @@ SIMILARITY = 0.8
 #: Bands of one MinHash each: tuned for recall, as a paragraph of 0.8 collides in one of two with 96 of 100 chances and
 #: a passage has many paragraphs.
 BANDS = 2
-#: Words compared on either side of a collision, and the stretch within which one collision of a kind is enough.
-REACH, STRIDE = 64, 32
+#: The stretch within which one collision of a kind is enough, and the words compared on either side of it: as many as
+#: a paragraph around any collision of the stretch can reach.
+STRIDE = 64
+REACH = STRIDE + LEAST
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,49 +102,70 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(words: int, everywhere: bool):
-    """Keys (key, doc_id, place) of runs of ``words`` equal words: those that begin or end with the shingle at a row's place,
+    """Keys (key, doc_id, place, open) of runs of ``words`` equal words: those that begin or end with the shingle at a row's place,
     or all that hold it."""
     n = words - WORDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, places = [], [], []
-            for doc, place, code in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "codes")), strict=True):
+            keys, docs, places, opens = [], [], [], []
+            for doc, place, code, is_open in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "codes", "open")), strict=True):
                 first, last = max(0, place - n + 1), min(place, len(code) // 2 - n)
                 for at in range(first, last + 1) if everywhere else {at for at in (place - n + 1, place) if first <= at <= last}:
                     keys.append(xxhash.xxh64_intdigest(code[2 * at : 2 * (at + n)], SEED))
                     docs.append(doc)
                     places.append(at if everywhere else place)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names=["key", "doc_id", "place"])
+                    opens.append(is_open)
+            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(opens, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "place", "open"])
 
     return run
 
 
-def _unresolved(hits: DataFrame, spans: DataFrame, codes: DataFrame) -> DataFrame:
+def _joined(spans_: DataFrame, *by: str) -> DataFrame:
+    """Overlapping or touching spans (doc_id, kept_id, start, stop) of a document, and of the same ``by``, as one with the
+    least ``kept_id``."""
+    order = Window.partitionBy("doc_id", *by).orderBy("start", "stop")
+    opens = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    parted = spans_.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    least = parted.groupBy("doc_id", *by, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("least"))
+    return least.select("doc_id", F.col("least").alias("kept_id"), "start", "stop")
+
+
+def _unresolved(hits: DataFrame, found: DataFrame, codes: DataFrame) -> DataFrame:
     """Spans of exactly fifty equal words at collisions that the comparison with their hash's least document left open.
 
     That document may share less than a passage, say a common line, with the others, which may share a passage with one
-    another. Of such collisions those count that share a run of 24 words to one side with another document (a passage of
-    fifty words around a shingle has one), and for these all runs of fifty words are grouped by hash, exactly.
+    another. A collision is settled if that document's span holds it, or if any span holds all runs of fifty words
+    around it. All places of a hash with an open one that share a run of 24 words to one side with an open one (fifty words
+    around a shingle have such a run) are taken on, and all their runs of fifty words are grouped by hash, exactly.
     """
-    gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    inside = F.exists("gone", lambda s: (F.col("place") >= s["start"]) & (F.col("place") + WORDS <= s["stop"]))
-    open_ = hits.where("doc_id <> kept_id").join(gone, "doc_id", "left").where(F.col("gone").isNull() | ~inside).select("hash").distinct()
-    places = hits.join(open_, "hash", "left_semi").select("doc_id", "place").distinct()
-    half = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST // 2 - 1, False), "key long, doc_id long, place int"), "half")
-    shared = half.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("key")
-    places = half.join(shared, "key", "left_semi").select("doc_id", "place").distinct()
-    runs = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST, True), "key long, doc_id long, place int").distinct(), "runs")
+    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kept_id")).alias("gone"))
+    place, margin = F.col("place"), LEAST - WORDS
+    inside = F.exists(
+        "gone",
+        lambda s: ((place >= s["start"]) & (place + WORDS <= s["stop"]) & (s["kept_id"] == F.col("kept_id")))
+        | ((place - margin >= s["start"]) & (place + LEAST <= s["stop"])),
+    )
+    state = F.col("gone").isNull() | ~inside
+    marked = written(hits.join(gone, "doc_id", "left").select("hash", "doc_id", "place", (state & (F.col("doc_id") != F.col("kept_id"))).alias("open")), "open")
+    places = marked.join(marked.where("open").select("hash").distinct(), "hash", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
+    half = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST // 2 - 1, False), "key long, doc_id long, place int, open boolean"), "half")
+    shared = half.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("open").alias("open")).where("least < last AND open").select("key")
+    places = half.join(written(shared, "shared"), "key", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
+    runs = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST, True), "key long, doc_id long, place int, open boolean").drop("open").distinct(), "runs")
     least = runs.groupBy("key").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).where("kept_id < last").select("key", "kept_id")
-    found = runs.join(least, "key").where("doc_id <> kept_id")
-    return found.select("doc_id", "kept_id", F.col("place").alias("start"), (F.col("place") + LEAST).alias("stop"))
+    again = runs.join(written(least, "least"), "key").where("doc_id <> kept_id")
+    for done in (marked, half):
+        drop(done)
+    return again.select("doc_id", "kept_id", F.col("place").alias("start"), (F.col("place") + LEAST).alias("stop"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, kept_id, component_id): word spans that an earlier document has too, to be removed.
 
-    Words are parted by ASCII white space and compared with A-Z lower-cased; spans count them from 0 and have at least
-    fifty. A document of at least fifty words whose words all equal an earlier document's is one span. For the others, the
+    Words are parted by ASCII white space and compared with A-Z lower-cased; spans count them from 0 and come from
+    paragraphs of fifty, less unequal ends. A document of at least fifty words whose words all equal an earlier document's is one span. For the others, the
     MinHashes of their paragraphs collide under bands; each collision is compared with the least doc_id of its hash, never
     with all, and stands where paragraphs of fifty words have a Jaccard similarity of 0.8 or more (shingles are told
     apart by 16 bits each). Overlapping spans are joined; ``kept_id`` is the least document that holds a part.
@@ -159,7 +182,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     exact = twins.where("doc_id <> least").select("doc_id", F.col("least").alias("kept_id"), F.lit(0).alias("start"), F.col("words").alias("stop")).distinct()
     laid = base.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("m")).select("doc_id", F.col("m.hashes").alias("hash"), F.col("m.places").alias("place"))
     shared = laid.groupBy("hash").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).where("kept_id < last").select("hash", "kept_id")
-    hits = written(laid.join(shared, "hash"), "hits")
+    hits = written(laid.join(written(shared, "shared"), "hash"), "hits")
     origin = hits.where("doc_id = kept_id").groupBy("hash").agg(F.min("place").alias("origin"))
     # one collision a stretch is enough for a document, its counterpart and their shift
     asked = hits.where("doc_id <> kept_id").join(origin, "hash").select("doc_id", "kept_id", "place", (F.col("place") - F.col("origin")).alias("shift"))
@@ -177,15 +200,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     y, j = around(F.col("place") - F.col("shift"))
     pairs = pairs.join(other, "kept_id").select("doc_id", "kept_id", "place", "x", "i", y.alias("y"), j.alias("j"))
     near = pairs.mapInArrow(_compared, "doc_id long, kept_id long, start int, stop int")
-    found = written(near.unionByName(exact), "spans")
-    found = found.unionByName(written(_unresolved(hits, found, codes), "unresolved"))
+    found = written(_joined(near.unionByName(exact), "kept_id"), "spans")
+    found = written(_joined(found.unionByName(_unresolved(hits, found, codes))), "joined")
     drop(hits)
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    opens = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    joined = found.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = joined.groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("kept_id")).drop("part")
     roots = components(found.select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b"))).withColumnRenamed("node", "doc_id")
-    return joined.join(roots, "doc_id").select("doc_id", "start", "stop", "kept_id", F.col("root").alias("component_id"))
+    return found.join(roots, "doc_id").select("doc_id", "start", "stop", "kept_id", F.col("root").alias("component_id"))
 
 
 def cut(text: str, gone: list[tuple[int, int]]) -> str:
