@@ -30,7 +30,7 @@ class Pieces:
     type BPE gets the best-scoring segmentation of its pieces, which its merges need not find.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY * 3 // 4):
         import ahocorasick
         import sentencepiece
 
@@ -56,7 +56,12 @@ class Pieces:
         self.plain[self.unknown] = " ⁇ ".encode()
         # no piece has a mark after another character: then no segmentation crosses the start of a word
         self.by_word = not any(SPACE in names[k].lstrip(SPACE) for k in normal)
-        self.memory, self.ids, self.scores = memory, {}, {}
+        self.memory, self.ids = memory, {}
+        # an unknown character's score stands with the first of its bytes
+        self.points = np.array([model.get_score(k) for k in range(size)], np.float64)
+        for value, k in self.bytes.items():
+            self.points[k] = 0.0 if value & 0xC0 == 0x80 else self.worst
+        self.points[self.unknown] = self.worst
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
         """Ids and score of marked text. The automaton reports the pieces that end at each character, the longest first
@@ -89,8 +94,8 @@ class Pieces:
             at = start
         return ids[::-1], best[n]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, float]]:
-        """Each text's ids, as little-endian unsigned integers of ``dtype``, and their score."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned integers of ``dtype``."""
         split = []
         for text in texts:
             words = text.split(" ") if self.by_word and SPACE not in text else [""]
@@ -103,18 +108,21 @@ class Pieces:
         missing = every.difference(self.ids)
         if len(self.ids) + len(missing) > self.memory:
             self.ids.clear()
-            self.scores.clear()
             missing = every
         long = [w for w in missing if len(w) > REMEMBERED]
         for word in missing:
             # a word alone stands for itself after one mark; what holds marks already stands as it is
-            ids, score = self.viterbi(word if SPACE in word or not word else SPACE + word)
-            self.ids[word], self.scores[word] = np.array(ids, self.dtype).tobytes(), score
-        out = [(b"".join(map(self.ids.__getitem__, words)), sum(map(self.scores.__getitem__, words))) for words in split]
+            ids, _ = self.viterbi(word if SPACE in word or not word else SPACE + word)
+            self.ids[word] = np.array(ids, self.dtype).tobytes()
+        out = [b"".join(map(self.ids.__getitem__, words)) for words in split]
         for word in long:
-            del self.ids[word], self.scores[word]
+            del self.ids[word]
         return out
 
+    def score(self, ids: bytes) -> float:
+        """The segmentation's score: pieces' scores, and the penalty of unknown characters (of their runs, without bytes)."""
+        return float(self.points[np.frombuffer(ids, self.dtype)].sum())
+
     def decode(self, ids: bytes) -> bytes:
         """The text's bytes: pieces joined, marks as spaces, without the one before the text."""
         joined = b"".join(map(self.plain.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
@@ -127,23 +135,22 @@ _COLUMNS = "n_bytes long, n_pieces long, ids_crc32 long, score double, exact boo
 def _coded(model: str, carry: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once(Pieces, model)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
+        names = [*carry, *(c.split(" ")[0] for c in _COLUMNS.split(", ")), *["ids"] * with_ids]
         for batch in batches:
-            rows, ids = [], []
-            for some in chunks(t or "" for t in batch.column("__text").to_pylist()):
-                for text, (code, score) in zip(some, coder.encode(some), strict=True):
+            at = 0
+            for some in chunks(t.as_py() or "" for t in batch.column("__text")):  # results leave as they come
+                rows, ids = [], []
+                for text, code in zip(some, coder.encode(some), strict=True):
                     raw, back = text.encode(), coder.decode(code)
                     wide = np.frombuffer(code, coder.dtype)
-                    rows.append((len(raw), len(wide), zlib.crc32(wide.astype("<u4").tobytes()), score, raw == back, zlib.crc32(back)))
+                    rows.append((len(raw), len(wide), zlib.crc32(wide.astype("<u4").tobytes()), coder.score(code), raw == back, zlib.crc32(back)))
                     if with_ids:
                         ids.append(wide.astype(np.int32))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            out = [*(batch.column(c) for c in carry), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-            names = [*carry, *(c.split(" ")[0] for c in _COLUMNS.split(", "))]
-            if with_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                part = batch.slice(at, len(some))
+                at += len(some)
+                out = [*(part.column(c) for c in carry), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays([*out, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=names)
 
     return run
 
