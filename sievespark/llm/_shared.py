@@ -30,6 +30,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sievespark-{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch of texts on its way to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bound on Arrow batches to BATCH_BYTES where it is higher.
+
+    Ten thousand long texts would else be one batch, several copies of which are in memory on both sides.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
+    if now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read from there: the lineage ends here, a lost executor costs nothing."""
     spark = df.sparkSession

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
+
 #: Bytes of a window; neighbouring windows overlap so that no filter misses a stretch at their border.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     the text is looked at.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")]), letters.alias("__letters"))
+    rows = small_batches(docs).select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")]), letters.alias("__letters"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
     return rows.mapInArrow(_judged(net), schema)
 

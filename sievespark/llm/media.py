@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ._shared import new_path
+from ._shared import new_path, small_batches
 
 WIDTH = 192
 #: An archive ends at so many members or bytes: both stay within plain ZIP.
@@ -130,7 +130,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
     """
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    names = sorted(r[0] for r in docs.select("doc_id", "text").mapInArrow(_writer(folder), "archive string").collect())
+    names = sorted(r[0] for r in small_batches(docs).select("doc_id", "text").mapInArrow(_writer(folder), "archive string").collect())
     with fs.open_output_stream(f"{root}/archives.json") as f:
         f.write(json.dumps(names).encode())
     return len(names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import components, drop, written
+from ._shared import components, drop, small_batches, written
 from .simhash import SEED, mixed, shingles
 
 #: Words of a shingle; words of the paragraphs that are hashed, and of those that are compared and removed at the least.
@@ -175,7 +175,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     has the same MinHash in all, and what the comparison leaves open goes through ``_unresolved``. A passage repeated within one document only is left alone. Texts null or of
     fewer words have no row; doc_id null takes no part; repeated rows count once.
     """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(docs.mapInArrow(_described, "doc_id long, name long, words int, codes binary, hashes array<long>, places array<int>"), "paragraphs")
     names = base.groupBy("name").agg(F.min("doc_id").alias("least"))
     twins = written(base.select("doc_id", "name", "words").join(names, "name").where(f"words >= {LEAST}").select("doc_id", "least", "words"), "twins")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
 from ._tokens import MEMORY, chunks, once
 
 #: SentencePiece's mark of a space, and what an unknown character scores below the worst piece.
@@ -162,7 +163,7 @@ def encode(docs: DataFrame, model: str, keep: list[str], with_ids: bool = False)
     There is no shuffle. Decoding differs from the text only where that holds the mark of a space itself. The empty text
     has no pieces and score 0.
     """
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = small_batches(docs).select(*keep, F.col("text").alias("__text"))
     kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(_coded(model, keep, with_ids), ", ".join([*kept, _COLUMNS] + ["ids array<int>"] * with_ids))
 

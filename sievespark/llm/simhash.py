@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from ._shared import components, drop, written
+from ._shared import components, drop, small_batches, written
 
 SEED = 42
 WORDS, DISTANCE = 3, 2
@@ -99,7 +99,7 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     there on. ``component_id`` is the least doc_id reachable. Texts that are null or have no word have fingerprint zero
     and are linked like any other; doc_id null never names a group that has another id; repeated rows stay.
     """
-    prints = written(docs.select("doc_id", "text").mapInArrow(_prints(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long"), "prints")
+    prints = written(small_batches(docs).select("doc_id", "text").mapInArrow(_prints(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long"), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "print")
     rooted = nodes.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
@@ -174,7 +174,7 @@ def near_copies(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     the five in 96 of 100 cases, at 0.9 in 99.8. Texts without words are copies of one another; doc_id null takes no part;
     rows repeated with their doc_id stay or go together.
     """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(docs.mapInArrow(_described(words), "doc_id long, name long, keys array<long>"), "described")
     names = base.groupBy("name").agg(F.min("doc_id").alias("id"))
     copies = written(base.select("doc_id", "name").join(names, "name").select("doc_id", "id"), "copies")

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, text_or_empty, written
+from ._shared import new_path, small_batches, text_or_empty, written
 from ._tokens import PieceCounts, chunks, once
 
 LIMIT = 4096
@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, model: str, cache: str, text: str = "text") ->
     spark = docs.sparkSession
     path = f"{cache}/tokenizer={version(model)}"
     content = text_or_empty(text)
-    keyed = docs.select(digest(content).alias("digest"), content.alias("text"))
+    keyed = small_batches(docs).select(digest(content).alias("digest"), content.alias("text"))
     known = _read(spark, path)
     if known is not None:
         keyed = keyed.join(known, "digest", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import new_path
+from ._shared import new_path, small_batches
 from ._tokens import WordIds, chunks, once
 
 END = 1
@@ -72,7 +72,7 @@ def write_ids(docs: DataFrame, model: str, folder: str, end: int = END) -> DataF
     fs.create_dir(root, recursive=True)
     kind = pa.int64() if docs.schema["doc_id"].dataType.typeName() == "long" else pa.string()
     ids = F.col("doc_id") if kind == pa.int64() else F.col("doc_id").cast("string").alias("doc_id")
-    rows = docs.select(ids, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = small_batches(docs).select(ids, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(_writer(model, folder, end, kind), _MANIFEST).write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     found = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
