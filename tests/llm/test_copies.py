@@ -147,6 +147,25 @@ def test_near_copies(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_one_base(spark):
+    """Versions of one base that are often too far from both pivots of a key; brute force links them all."""
+    rng = random.Random(2)
+    base, rows, want = prose(rng, 200), [], Groups()
+    for k in range(200):
+        text = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 4)):
+            text[at] = rng.choice(VOCABULARY)
+        rows.append((k, text))
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for _, w in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want.join(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.kept_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: want.find(i) for i, _ in rows if want.find(i) != i}
+
+
 def test_spans():
     a = np.arange(200, dtype=np.uint16)
     b = a.copy()
