@@ -88,15 +88,77 @@ def spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float =
     return out
 
 
+def _counted(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """How often each of ``values`` stands in every ``n`` codes in a row: a row for each beginning."""
+    sums = np.zeros((len(codes) + 1, len(values)), np.int16)
+    np.cumsum(codes[:, None] == values, axis=0, out=sums[1:])
+    return sums[n:] - sums[:-n]
+
+
+def repeated(a: np.ndarray, b: np.ndarray, known: list[tuple[int, int]] = (), least: int = LEAST, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Word spans of ``a`` that ``b`` repeats at any shift, besides those ``known``.
+
+    Every paragraph of ``least`` words of ``a`` is compared with every one of ``b``: the shingles that both hold, repeats
+    included, against all of both, so inserted, deleted and moved words count as what they change. Ends without two equal
+    shingles in a row are left out. Paragraphs without enough shingles of ``b``, or whose part that ``b`` holds is within
+    a known span, need no comparison.
+    """
+    n = least - WORDS + 1
+    if min(len(a), len(b)) < n:
+        return []
+    need = next(c for c in range(n + 1) if c >= similarity * (2 * n - c))
+    values = np.intersect1d(a, b)
+    inside = np.isin(a, values)
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    starts = np.flatnonzero(sums[n:] - sums[:-n] >= need)
+    if not len(starts):
+        return []
+    at = np.flatnonzero(inside)
+    first, last = at[sums[starts]], at[sums[starts + n] - 1]
+    settled = np.zeros(len(starts), bool)
+    for start, stop in known:
+        settled |= (first >= start) & (last + WORDS <= stop)
+    starts = starts[~settled]
+    if not len(starts):
+        return []
+    mine, other = _counted(a, values, n)[starts], _counted(b, values, n)
+    common = np.zeros((len(mine), len(other)), np.float32)
+    for m in range(1, 1 + min(mine.max(), other.max())):
+        common += (mine >= m).astype(np.float32) @ (other >= m).astype(np.float32).T
+    best = common.argmax(axis=1)
+    good = np.flatnonzero(common[np.arange(len(best)), best] >= need)
+    hits, runs = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    x, y = (c[:-1].astype(np.uint32) << 16 | c[1:] for c in (a, b))
+    for k in good:
+        s, t = starts[k], best[k]
+        hits[s : s + n] |= np.isin(a[s : s + n], b[t : t + n])
+        two = np.isin(x[s : s + n - 1], y[t : t + n - 1])  # two in a row: 16 bits alone may be equal by chance
+        runs[s : s + n - 1] |= two
+        runs[s + 1 : s + n] |= two
+    out: list[tuple[int, int]] = []
+    for group in np.split(starts[good], np.flatnonzero(np.diff(starts[good]) > n) + 1):
+        if len(group):
+            part = slice(group[0], group[-1] + n)
+            held = np.flatnonzero(runs[part] if runs[part].any() else hits[part]) + group[0]
+            out.append((int(held[0]), int(held[-1]) + WORDS))
+    return out
+
+
+def _both(x: np.ndarray, i: int, y: np.ndarray, j: int) -> list[tuple[int, int]]:
+    """Word spans of ``x`` that ``y`` repeats around a collision at ``i`` and ``j``."""
+    left = min(i, j)  # as far as both reach to the left of the collision
+    a, b = x[i - left :], y[j - left :]
+    n = min(len(a), len(b))
+    known = [(i - left + s, i - left + e) for s, e in spans(a[:n], b[:n])]
+    return known + repeated(x, y, known)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, kept, place, x, y, i, j in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kept_id", "place", "x", "y", "i", "j")), strict=True):
             a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
-            left = min(i, j)  # as far as both reach to the left of the collision
-            a, b = a[i - left :], b[j - left :]
-            n = min(len(a), len(b))
-            rows += [(doc, kept, place - left + s, place - left + e) for s, e in spans(a[:n], b[:n])]
+            rows += [(doc, kept, place - i + s, place - i + e) for s, e in _both(a, i, b, j)]
         doc, kept, start, end = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kept, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "kept_id", "start", "stop"])
 

@@ -244,6 +244,32 @@ def test_edited_passage(spark):
     assert (row.doc_id, row.start, row.stop, row.kept_id, row.component_id) == (2, 70, 230, 1, 1)
 
 
+def test_passage_with_a_word_more_or_less(spark):
+    rng, rows, want = random.Random(21), [], {}
+    for k in range(20):
+        size = rng.choice([60, 75])
+        passage = prose(rng, size)
+        edited = passage[: size // 2] + (["more"] + passage[size // 2 :] if k % 2 else passage[size // 2 + 1 :])
+        at, head = rng.randrange(30, 60), rng.randrange(30, 60)
+        rows += [(2 * k, prose(rng, at) + passage + prose(rng, 50)), (2 * k + 1, prose(rng, head) + edited + prose(rng, 50))]
+        want[2 * k + 1] = (head, head + len(edited), 2 * k)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id: (r.start, r.stop, r.kept_id) for r in passages.repeats(docs).collect()} == want
+
+
+def test_repeated_counts_repeats():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        a = rng.integers(0, 30, 60).astype(np.uint16)
+        b = np.concatenate([rng.permutation(a[4:54]), rng.integers(0, 30, 20).astype(np.uint16)])
+        n = 46
+        counts = lambda x, k: np.bincount(x[k : k + n], minlength=30)
+        good = [s for s in range(len(a) - n + 1) if max(np.minimum(counts(a, s), counts(b, t)).sum() for t in range(len(b) - n + 1)) >= 41]
+        found = passages.repeated(a, b)
+        assert bool(found) == bool(good)
+        assert not good or (found[0][0] >= good[0] and found[-1][1] <= good[-1] + 50)
+
+
 def test_cut():
     assert passages.cut("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert passages.cut("a b", [(0, 2)]) == "" and passages.cut("a b", [(5, 9)]) == "a b"
