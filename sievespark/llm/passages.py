@@ -223,13 +223,113 @@ def _unresolved(hits: DataFrame, found: DataFrame, codes: DataFrame) -> DataFram
     return again.select("doc_id", "kept_id", F.col("place").alias("start"), (F.col("place") + LEAST).alias("stop"))
 
 
+def _first_repeats(docs: np.ndarray, places: np.ndarray, opens: np.ndarray, parts: list[np.ndarray], at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans (doc_id, kept_id, start, stop) of the open collisions of one hash with earlier documents.
+
+    Rows are in order of doc_id; ``parts`` are the shingles around each collision, which stands there ``at``. Paragraphs
+    that are alike share ``need`` shingles, so their surroundings do too, repeats told apart, and share one of the
+    rarest: only rows that do are counted, and only those that reach ``need`` are compared. Earlier documents are tried
+    in order until one repeats the collision's own place.
+    """
+    n = LEAST - WORDS + 1
+    need = next(c for c in range(n + 1) if c >= SIMILARITY * (2 * n - c))
+    sizes = np.array([len(p) for p in parts])
+    row = np.repeat(np.arange(len(parts)), sizes)
+    value = np.concatenate(parts)
+    order = np.lexsort((value, row))
+    value, ends = value[order].astype(np.int64), np.cumsum(sizes)
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    k = np.arange(len(value))
+    _, token, often = np.unique(value << 16 | (k - np.maximum.accumulate(np.where(fresh, k, 0))), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, often[token], row))
+    token = token[order]
+    table = np.full((len(parts), sizes.max()), len(often))
+    table[row, k - (ends - sizes)[row]] = token
+    rare = k - (ends - sizes)[row] < sizes[row] - need + 1
+    by = np.lexsort((row[rare], token[rare]))
+    keys, held = token[rare][by], row[rare][by]
+    out, flag = [], np.zeros(len(often) + 1, bool)
+    for r in np.flatnonzero(opens & (sizes >= n)):
+        before = np.searchsorted(docs, docs[r])
+        mine = table[r, : max(0, sizes[r] - need + 1)]
+        first, last = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+        lists = [held[a:b] for a, b in zip(first, last, strict=True) if b - a > 1]
+        flag[table[r, : sizes[r]]] = True
+        low, step = 0, 256
+        while low < before and lists:
+            high = min(low + step, before)
+            near = np.unique(np.concatenate([x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in lists]))
+            done = False
+            for c in near[flag[table[near]].sum(axis=1) >= need]:
+                found = repeated(parts[r], parts[c])
+                out += [(int(docs[r]), int(docs[c]), int(places[r] - at[r] + s), int(places[r] - at[r] + e)) for s, e in found]
+                done = any(s <= at[r] and at[r] + WORDS <= e for s, e in found)
+                if done:
+                    break
+            if done:
+                break
+            low, step = high, 2 * step
+        flag[table[r, : sizes[r]]] = False
+    return out
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, doc_id, place, open, x, i) in order of hash and doc_id to the spans of ``_first_repeats``."""
+    names = ["doc_id", "kept_id", "start", "stop"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def settled(rows: list[tuple]) -> pa.RecordBatch:
+        _, docs, places, opens, x, i = zip(*rows, strict=True)
+        found = _first_repeats(np.array(docs), np.array(places), np.array(opens), [np.frombuffer(c, "<u2") for c in x], np.array(i)) if any(opens) else []
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "doc_id", "place", "open", "x", "i")), strict=True):
+            if rows and rows[-1][0] != row[0]:
+                yield settled(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield settled(rows)
+
+
+def _near_again(hits: DataFrame, found: DataFrame, exact: DataFrame, leaders: DataFrame, codes: DataFrame) -> DataFrame:
+    """Spans of collisions that neither the least document of their hash nor a run of fifty equal words settles.
+
+    Each is compared with all places of all earlier documents of its hash that can be near. Copies of whole documents take
+    no part, as ``leaders`` lacks them: all their words go.
+    """
+    place, margin = F.col("place"), LEAST - WORDS
+    spans_ = found.withColumn("any", F.lit(False)).unionByName(_joined(exact).withColumn("any", F.lit(True)))
+    gone = spans_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kept_id", "any")).alias("gone"))
+    inside = F.exists(
+        "gone",
+        lambda s: ((place >= s["start"]) & (place + WORDS <= s["stop"]) & (s["any"] | (s["kept_id"] == F.col("kept_id"))))
+        | ((place - margin >= s["start"]) & (place + LEAST <= s["stop"])),
+    )
+    state = (F.col("gone").isNull() | ~inside) & (F.col("doc_id") != F.col("kept_id"))
+    marked = hits.join(leaders, "doc_id", "left_semi").join(gone, "doc_id", "left").select("hash", "doc_id", "place", state.alias("open"))
+    marked = written(marked, "again")
+    # two rows are a collision that was compared already
+    asked = marked.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 2 AND open").select("hash")
+    first = F.greatest(place - (LEAST - WORDS), F.lit(0))
+    around = F.substring(F.col("codes"), 2 * first + 1, 2 * (place + LEAST - WORDS + 1 - first))
+    rows = marked.join(asked, "hash", "left_semi").join(codes, "doc_id").select("hash", "doc_id", "place", "open", around.alias("x"), (place - first).alias("i"))
+    again = rows.repartition("hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(_regrouped, "doc_id long, kept_id long, start int, stop int")
+    again = written(again, "near")
+    drop(marked)
+    return again
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, kept_id, component_id): word spans that an earlier document has too, to be removed.
 
     Words are parted by ASCII white space and compared with A-Z lower-cased; spans count them from 0 and come from
     paragraphs of fifty, less unequal ends. A document of at least fifty words whose words all equal an earlier document's is one span. For the others, the
-    MinHashes of their paragraphs collide under bands; each collision is compared with the least doc_id of its hash, never
-    with all, and stands where paragraphs of fifty words have a Jaccard similarity of 0.8 or more (shingles are told
+    MinHashes of their paragraphs collide under bands; each collision is compared with the least doc_id of its hash, what that
+    leaves open with the others that can be near (``_near_again``), and stands where paragraphs of fifty words have a Jaccard similarity of 0.8 or more (shingles are told
     apart by 16 bits each). Overlapping spans are joined; ``kept_id`` is the least document that holds a part.
     ``component_id`` is the least document in the component of documents that such spans link; its passages stay.
 
@@ -249,7 +349,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # one collision a stretch is enough for a document, its counterpart and their shift
     asked = hits.where("doc_id <> kept_id").join(origin, "hash").select("doc_id", "kept_id", "place", (F.col("place") - F.col("origin")).alias("shift"))
     asked = asked.groupBy("doc_id", "kept_id", "shift", F.floor(F.col("place") / STRIDE).alias("stretch")).agg(F.min("place").alias("place")).drop("stretch")
-    asked = asked.join(twins.where("doc_id = least").select("doc_id").distinct(), "doc_id", "left_semi")
+    leaders = twins.where("doc_id = least").select("doc_id").distinct()
+    asked = asked.join(leaders, "doc_id", "left_semi")
     codes = base.select("doc_id", "codes").where(f"words >= {LEAST}")
 
     def around(place) -> tuple:
@@ -263,7 +364,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(other, "kept_id").select("doc_id", "kept_id", "place", "x", "i", y.alias("y"), j.alias("j"))
     near = pairs.mapInArrow(_compared, "doc_id long, kept_id long, start int, stop int")
     found = written(_joined(near.unionByName(exact), "kept_id"), "spans")
-    found = written(_joined(found.unionByName(_unresolved(hits, found, codes))), "joined")
+    runs = written(_unresolved(hits, found, codes), "runs")
+    again = _near_again(hits, found, runs, leaders, codes)
+    found = written(_joined(found.unionByName(runs).unionByName(again)), "joined")
     drop(hits)
     roots = components(found.select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b"))).withColumnRenamed("node", "doc_id")
     return found.join(roots, "doc_id").select("doc_id", "start", "stop", "kept_id", F.col("root").alias("component_id"))

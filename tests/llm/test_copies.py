@@ -270,6 +270,22 @@ def test_repeated_counts_repeats():
         assert not good or (found[0][0] >= good[0] and found[-1][1] <= good[-1] + 50)
 
 
+def test_near_passages_behind_their_shingles(spark):
+    """The first document holds every shingle of the passages, but no paragraph of them; only later ones are alike."""
+    rng = random.Random(22)
+    rows, want, first = [], {}, []
+    for k in range(20):
+        passage = prose(rng, 60)
+        first += [w for at in range(0, 55, 5) for w in passage[at : at + 10] + prose(rng, 3)]
+        edited = list(passage)
+        edited[30] = "edited"
+        rows.append((1 + 2 * k, prose(rng, 40) + passage[:12] + prose(rng, 60) + passage + prose(rng, 40)))
+        rows.append((2 + 2 * k, prose(rng, 40) + edited + prose(rng, 40)))
+        want[2 + 2 * k] = (40, 100, 1 + 2 * k)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in [(0, first), *rows]], "doc_id long, text string")
+    assert {r.doc_id: (r.start, r.stop, r.kept_id) for r in passages.repeats(docs).collect()} == want
+
+
 def test_cut():
     assert passages.cut("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert passages.cut("a b", [(0, 2)]) == "" and passages.cut("a b", [(5, 9)]) == "a b"
