@@ -25,6 +25,8 @@ BANDS = 2
 #: a paragraph around any collision of the stretch can reach.
 STRIDE = 64
 REACH = STRIDE + LEAST
+#: Rows of a hash that are compared with as many at a time.
+BLOCK = 10_000
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -107,40 +109,60 @@ def repeated(a: np.ndarray, b: np.ndarray, known: list[tuple[int, int]] = (), le
     if min(len(a), len(b)) < n:
         return []
     need = next(c for c in range(n + 1) if c >= similarity * (2 * n - c))
-    values = np.intersect1d(a, b)
-    inside = np.isin(a, values)
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+    inside = high > low
     sums = np.concatenate([[0], np.cumsum(inside)])
     starts = np.flatnonzero(sums[n:] - sums[:-n] >= need)
     if not len(starts):
         return []
     at = np.flatnonzero(inside)
-    first, last = at[sums[starts]], at[sums[starts + n] - 1]
-    settled = np.zeros(len(starts), bool)
-    for start, stop in known:
-        settled |= (first >= start) & (last + WORDS <= stop)
-    starts = starts[~settled]
+    first, last = at[sums[starts]], at[sums[starts + n] - 1] + WORDS
+
+    out: list[tuple[int, int]] = []
+
+    def open_(spans_: list[tuple[int, int]]) -> np.ndarray:
+        settled, reach, begin = np.zeros(len(starts), bool), -2, 0
+        for start, stop in sorted(spans_):
+            if start == reach + 1 and ((first < reach) & (last > start)).any():  # one word more, within a paragraph
+                out.append((reach, start))
+            elif start > reach:
+                begin, reach = start, stop
+            reach = max(reach, stop)
+            settled |= (first >= begin) & (last <= reach)
+        return ~settled
+
+    left = open_(known)
+    if left.any():  # what stands opposite at other shifts is told at once
+        shifts, often = np.unique(at - order[low[at]], return_counts=True)
+        for shift in shifts[often > n // 2].tolist():
+            d, e = max(shift, 0), max(-shift, 0)
+            size = min(len(a) - d, len(b) - e)
+            out += [(d + x, d + y) for x, y in spans(a[d : d + size], b[e : e + size], least, similarity)]
+        left = open_([*known, *out])
+    starts = starts[left]
     if not len(starts):
-        return []
-    mine, other = _counted(a, values, n)[starts], _counted(b, values, n)
-    common = np.zeros((len(mine), len(other)), np.float32)
-    for m in range(1, 1 + min(mine.max(), other.max())):
-        common += (mine >= m).astype(np.float32) @ (other >= m).astype(np.float32).T
+        return out
+    values = np.unique(a[at])
+    one = (a[:, None] == b).cumsum(axis=1, dtype=np.int16)
+    one = np.concatenate([np.zeros((len(a), 1), np.int16), one], axis=1)
+    sides = np.concatenate([np.zeros((1, len(b) - n + 1), np.int16), (one[:, n:] - one[:, :-n]).cumsum(axis=0, dtype=np.int16)])
+    common = sides[starts + n] - sides[starts]
+    if len(values) < len(at) or (high - low).max() > 1:  # repeats: each counts as often as both hold it
+        mine, other = _counted(a, values, n)[starts], _counted(b, values, n)
+        common = np.zeros((len(mine), len(other)), np.float32)
+        for m in range(1, 1 + min(mine.max(), other.max())):
+            common += (mine >= m).astype(np.float32) @ (other >= m).astype(np.float32).T
     best = common.argmax(axis=1)
     good = np.flatnonzero(common[np.arange(len(best)), best] >= need)
-    hits, runs = np.zeros(len(a), bool), np.zeros(len(a), bool)
     x, y = (c[:-1].astype(np.uint32) << 16 | c[1:] for c in (a, b))
-    for k in good:
-        s, t = starts[k], best[k]
-        hits[s : s + n] |= np.isin(a[s : s + n], b[t : t + n])
-        two = np.isin(x[s : s + n - 1], y[t : t + n - 1])  # two in a row: 16 bits alone may be equal by chance
-        runs[s : s + n - 1] |= two
-        runs[s + 1 : s + n] |= two
-    out: list[tuple[int, int]] = []
-    for group in np.split(starts[good], np.flatnonzero(np.diff(starts[good]) > n) + 1):
+    for group in np.split(good, np.flatnonzero(np.diff(starts[good]) > n) + 1):
         if len(group):
-            part = slice(group[0], group[-1] + n)
-            held = np.flatnonzero(runs[part] if runs[part].any() else hits[part]) + group[0]
-            out.append((int(held[0]), int(held[-1]) + WORDS))
+            s, e = starts[group[0]], starts[group[-1]] + n
+            t, u = best[group].min(), best[group].max() + n
+            two = np.flatnonzero(np.isin(x[s : e - 1], y[t : u - 1]))  # two in a row: 16 bits alone may be equal by chance
+            held = np.flatnonzero(np.isin(a[s:e], b[t:u])) if not len(two) else np.array([two[0], two[-1] + 1])
+            out.append((int(s + held[0]), int(s + held[-1]) + WORDS))
     return out
 
 
@@ -229,7 +251,7 @@ def _first_repeats(docs: np.ndarray, places: np.ndarray, opens: np.ndarray, part
     Rows are in order of doc_id; ``parts`` are the shingles around each collision, which stands there ``at``. Paragraphs
     that are alike share ``need`` shingles, so their surroundings do too, repeats told apart, and share one of the
     rarest: only rows that do are counted, and only those that reach ``need`` are compared. Earlier documents are tried
-    in order until one repeats the collision's own place.
+    in order until one repeats the collision's own place; that collision is then not open any more.
     """
     n = LEAST - WORDS + 1
     need = next(c for c in range(n + 1) if c >= SIMILARITY * (2 * n - c))
@@ -268,6 +290,7 @@ def _first_repeats(docs: np.ndarray, places: np.ndarray, opens: np.ndarray, part
                 if done:
                     break
             if done:
+                opens[r] = False
                 break
             low, step = high, 2 * step
         flag[table[r, : sizes[r]]] = False
@@ -281,7 +304,15 @@ def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(rows: list[tuple]) -> pa.RecordBatch:
         _, docs, places, opens, x, i = zip(*rows, strict=True)
-        found = _first_repeats(np.array(docs), np.array(places), np.array(opens), [np.frombuffer(c, "<u2") for c in x], np.array(i)) if any(opens) else []
+        docs, places, opens, i = np.array(docs), np.array(places), np.array(opens), np.array(i)
+        parts, found = [np.frombuffer(c, "<u2") for c in x], []
+        for b in range(0, len(rows), BLOCK):  # all blocks meet, two at a time: memory does not grow with the group
+            for a in range(0, b + 1, BLOCK):
+                pick = np.unique(np.r_[a : min(a + BLOCK, len(rows)), b : min(b + BLOCK, len(rows))])
+                is_open = opens[pick] & (pick >= b)
+                if is_open.any():
+                    found += _first_repeats(docs[pick], places[pick], is_open, [parts[k] for k in pick], i[pick])
+                    opens[pick[pick >= b]] = is_open[pick >= b]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
 
     rows: list[tuple] = []
