@@ -36,7 +36,8 @@ class WordIds:
 
     The text's spaces and line feeds, which its normaliser treats alike, cut it into words; each word's ids are the
     library's own. A word of Latin-1 letters and closing marks is two pre-tokens and is put together from them; Latin-1
-    and ASCII words are looked up in lower case, as the normaliser lowers them.
+    and ASCII words are looked up in lower case, as the normaliser lowers them, but as they stand where their lower case
+    holds an added token.
     """
 
     def __init__(self, path: str, memory: int = MEMORY, stems: int = STEMS):
@@ -47,6 +48,9 @@ class WordIds:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        # the library looks for added tokens before it lowers the text
+        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)").search
         self.memory, self.stems, self.known = memory, stems, {}
         self.young, self.old = {}, {}
 
@@ -79,7 +83,9 @@ class WordIds:
             if not word:
                 continue
             stem = word.rstrip(MARKS)
-            if letters(stem):
+            if self.added(word.lower()):
+                mark, stem = "", word
+            elif letters(stem):
                 mark, stem = word[len(stem) :], stem.lower()
             else:
                 mark, stem = "", word.lower() if word.isascii() else word

@@ -34,6 +34,12 @@ def test_words_are_the_librarys(memory):
         assert [np.frombuffer(g, own.dtype).tolist() for g in got] == [w.ids for w in want]
 
 
+def test_added_tokens_keep_their_case():
+    own, library = WordIds(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    for text in ["<|ENDOFTEXT|> <|EndOfText|>", "a<|endoftext|>B <|endoftext|>", "<|STARTOFTEXT|>x. A<|EndOfText|>b", "<|endoftext|> <|ENDOFTEXT|>"]:
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("memory", [5, 10**6])
 def test_counts_are_the_librarys(memory):
     own, library = PieceCounts(MODEL, memory), sentencepiece.SentencePieceProcessor(model_file=MODEL)
