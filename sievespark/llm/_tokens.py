@@ -49,8 +49,9 @@ class WordIds:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         # the library looks for added tokens before it lowers the text
-        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)").search
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.lettered = any(_letters.fullmatch(t.rstrip(MARKS) or "a") for t in added)
         self.memory, self.stems, self.known = memory, stems, {}
         self.young, self.old = {}, {}
 
@@ -83,12 +84,10 @@ class WordIds:
             if not word:
                 continue
             stem = word.rstrip(MARKS)
-            if self.added(word.lower()):
-                mark, stem = "", word
-            elif letters(stem):
+            if letters(stem) and not (self.lettered and self.added(word.lower())):
                 mark, stem = word[len(stem) :], stem.lower()
             else:
-                mark, stem = "", word.lower() if word.isascii() else word
+                mark, stem = "", word.lower() if word.isascii() and not self.added(word.lower()) else word
             code = young.get(stem)
             if code is None:
                 code = old.get(stem)
