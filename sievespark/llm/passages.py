@@ -1,4 +1,10 @@
-"""Repeated passages: paragraphs under MinHash bands, exact similarity, and removals clustered by components."""
+"""Repeated passages: paragraphs under MinHash bands, exact edit distance, and removals clustered by components.
+
+A paragraph is any LEAST words in a row of a text. Two paragraphs are alike if the Jaccard similarity of their five-word
+shingles, taken in order, is 0.8 or more: of the 46 shingles of fifty words 41 have to be common. One changed word costs
+five, one word more or less costs four in one and five in the other, so that paragraphs are alike just if 45 words in a row are
+equal in both, or 49 are but for one word replaced, inserted or deleted among them. That is what is verified here, exactly.
+"""
 
 from __future__ import annotations
 
@@ -7,400 +13,438 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import components, drop, small_batches, written
-from .simhash import SEED, mixed, shingles
-
-#: Words of a shingle; words of the paragraphs that are hashed, and of those that are compared and removed at the least.
-WORDS, PARAGRAPH, LEAST = 5, 40, 50
-SIMILARITY = 0.8
-#: Bands of one MinHash each: tuned for recall, as a paragraph of 0.8 collides in one of two with 96 of 100 chances and
-#: a passage has many paragraphs.
-BANDS = 2
-#: The stretch within which one collision of a kind is enough, and the words compared on either side of it: as many as
-#: a paragraph around any collision of the stretch can reach.
-STRIDE = 64
-REACH = STRIDE + LEAST
-#: Rows of a hash that are compared with as many at a time.
-BLOCK = 10_000
-
+from ._words import Runs, chunks, five, mix, powers
+
+#: Words of a shingle and of a paragraph; the similarity of paragraphs.
+WORDS, LEAST, SIMILARITY = 5, 50, 0.8
+#: Shingles of a paragraph that have to be common, and the words in a row, or with one edit among them, that have them.
+COMMON = next(c for c in range(LEAST) if c >= SIMILARITY * (2 * (LEAST - WORDS + 1) - c))
+RUN = COMMON + WORDS - 1
+EDITED = RUN + WORDS - 1
+#: Half a paragraph, which one edit leaves whole; on the side of the edit that has less there are at least WORDS words.
+HALF = LEAST // 2
+#: Shingles under one MinHash. Two neighbouring windows of them whose MinHashes are of different shingles are a band, keyed
+#: by the words of both: tuned so that HALF equal words always hold one.
+SPAN = (HALF - WORDS + 1) // 2
+KEY = SPAN + WORDS
+#: Longest period of words that repeat on and on (a word, a short line), whose bands are given at both ends only.
+PERIOD = 10
+#: Words around a collision that are compared, and that are kept for paragraphs that this does not settle.
+REACH = 40
+MARGIN = 60
+
+_steps = powers(KEY)
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def marks(data: bytes, bands: int = BANDS, paragraph: int = PARAGRAPH) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the MinHashes of all paragraphs, where a paragraph is any ``paragraph`` words in a row.
+def _periodic(found: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, period) of runs of RUN words or more that repeat their first PERIOD words or fewer.
 
-    Passages are pasted anywhere, also within lines, so every word begins a paragraph. Neighbouring paragraphs mostly
-    share their least shingle, and each is given once: about one mark in 18 words and band. Texts that
-    have fewer words have no paragraph.
-    """
-    found = np.frombuffer(data, "<u8")
-    span = paragraph - WORDS + 1
-    if len(found) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    hashes, places = [], []
-    for band in range(bands):
-        turned = mixed(found, band)
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(turned, span).argmin(axis=1) + np.arange(len(found) - span + 1))
-        hashes.append(turned[at])
-        places.append(at)
-    return np.concatenate(hashes).view(np.int64), np.concatenate(places).astype(np.int32)
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, sizes, codes, hashes, places = [], [], [], [], []
-        for text in batch.column("text"):
-            data = shingles(text.as_py(), WORDS)
-            names.append(xxhash.xxh64_intdigest(data, SEED))
-            sizes.append(len(data) // 8 + WORDS - 1)
-            codes.append(np.frombuffer(data, "<u2")[::4].tobytes())
-            h, p = marks(data)
-            hashes.append(h)
-            places.append(p)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-            names=["doc_id", "name", "words", "codes", "hashes", "places"],
-        )
-
-
-def spans(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Word spans of ``a`` that ``b`` repeats, for shingles that stand opposite each other.
-
-    Each paragraph of ``least`` words is compared with the one opposite: of its shingles, n a side, c are equal, and their
-    Jaccard similarity is c / (2n - c). Paragraphs that reach ``similarity`` are joined, and ends that are not equal
-    are left out.
+    ``found`` are shingles, ``rows`` the text of each word. Such a run has equal shingles a period apart at more places
+    in a row than are left out between those looked at first.
     """
-    n = least - WORDS + 1
-    same = a == b
-    if len(same) < n:
-        return []
-    sums = np.concatenate([[0], np.cumsum(same)])
-    common = sums[n:] - sums[:-n]
-    good = np.flatnonzero(common >= similarity * (2 * n - common))
-    out: list[tuple[int, int]] = []
-    for group in np.split(good, np.flatnonzero(np.diff(good) > n) + 1):
-        if len(group):
-            hits = np.flatnonzero(same[group[0] : group[-1] + n]) + group[0]
-            out.append((int(hits[0]), int(hits[-1]) + WORDS))
+    out, taken = [], np.zeros(len(found), bool)
+    for p in range(1, PERIOD + 1):
+        n = len(found) - p
+        if n <= 0 or not (found[:n:16] == found[p::16]).any():
+            continue
+        same = (found[:n] == found[p:]) & (rows[:n] == rows[p + WORDS - 1 :][:n])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        starts, stops = edges[::2], edges[1::2] + p + WORDS - 1
+        for k in np.flatnonzero(stops - starts >= RUN):
+            if not taken[(starts[k] + stops[k]) // 2]:
+                taken[starts[k] : stops[k]] = True
+                out.append((int(starts[k]), int(stops[k]), p))
     return out
 
 
-def _counted(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """How often each of ``values`` stands in every ``n`` codes in a row: a row for each beginning."""
-    sums = np.zeros((len(codes) + 1, len(values)), np.int16)
-    np.cumsum(codes[:, None] == values, axis=0, out=sums[1:])
-    return sums[n:] - sums[:-n]
+def marks(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, key, size) of the bands of texts whose words' hashes lie end to end.
 
+    The MinHash of each SPAN shingles in a row stands at the last place of the least hash. Where it is another place than
+    in the window before, the KEY words of both windows are a band: about two in SPAN + 1 words, of size 0. Words
+    repeated in short periods have many equal bands; those further than a period from the run's ends are left out, and
+    the run itself is one band of its size, whose key is that of its least rotation.
+    """
+    n = len(hashes) - KEY + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none, none, none, none
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    base = five(hashes)
+    found = mix(base)
+    place = np.uint64((1 << 24) - 1) - (np.arange(len(found), dtype=np.uint64) & np.uint64((1 << 24) - 1))
+    least = (found >> np.uint64(24) << np.uint64(24)) | place
+    done = 1
+    while done < SPAN:
+        step = min(done, SPAN - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    change = (least[1 : n + 1] != least[:n]) & (rows[:n] == rows[KEY - 1 :])
+    inner, runs = np.zeros(n + 1, np.int32), _periodic(found, rows)
+    row, at, key, size = [], [], [], []
+    with np.errstate(over="ignore"):
+        for start, stop, p in runs:
+            inner[min(n, start + p)] += 1
+            inner[min(n, max(start + p, stop - KEY - p + 1))] -= 1
+            once = Runs(np.tile(hashes[start : start + p], 2)).at(np.arange(p), p)
+            row.append(rows[start])
+            at.append(start)
+            key.append(mix(once + np.uint64(1000 + p)).min())
+            size.append(stop - start)
+        i = np.flatnonzero(change & (np.cumsum(inner)[:n] == 0))
+        whole = sum((base[i + k] * _steps[k] for k in range(WORDS, KEY - WORDS + 1, WORDS)), base[i])
+    row, at = np.concatenate([rows[i], np.array(row, np.int64)]), np.concatenate([i, np.array(at, np.int64)])
+    keys = np.concatenate([mix(whole + np.uint64(KEY)), np.array(key, np.uint64)]).view(np.int64)
+    return row, at - offsets[row], keys, np.concatenate([np.zeros(len(i), np.int64), np.array(size, np.int64)])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, key, place, first, size) of every band; place -1 for a text itself, keyed by all its words."""
+    names = ["node", "key", "place", "first", "size"]
+    for batch in batches:
+        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        for begin, hashes, offsets in chunks(batch.column("text")):
+            words = np.diff(offsets)
+            long = words >= LEAST
+            row, place, key, size = marks(hashes, offsets)
+            keep = long[row]
+            row, place, key, size = row[keep], place[keep], key[keep], size[keep]
+            first = np.zeros(len(row), bool)
+            first[np.unique(mix(key.view(np.uint64) + mix(row.astype(np.uint64))), return_index=True)[1]] = True
+            at = offsets[:-1][long]
+            if len(at):
+                with np.errstate(over="ignore"):
+                    weight = mix((np.arange(len(hashes)) - np.repeat(offsets[:-1], words)).astype(np.uint64))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + weight), dtype=np.uint64)])
+                    whole = mix(sums[offsets[1:][long]] - sums[at] + words[long].astype(np.uint64)).view(np.int64)
+                row, place = np.concatenate([row, np.flatnonzero(long)]), np.concatenate([place, np.full(len(at), -1)])
+                key, first, size = np.concatenate([key, whole]), np.concatenate([first, np.zeros(len(at), bool)]), np.concatenate([size, words[long]])
+            columns = [nodes[begin + row], key, place.astype(np.int32), first, size.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+#: What is asked of a text: the words around a stretch of its collisions, around another text's stretch in it, all those
+#: around a band that more than two rows have.
+OWN, OTHER, MORE = 0, 1, 2
+_PARTS = "kind int, node long, other long, a int, b int, shift int, x binary, y binary"
+
+
+def _sides(codes: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, beyond: int) -> tuple[list[bytes], list[bytes]]:
+    """The REACH words before ``first``, nearest first, and after ``last`` + KEY; ``beyond`` the texts' ends (low, high)."""
+    steps = np.arange(REACH)
+    out = []
+    for at in (first[:, None] - 1 - steps, last[:, None] + KEY + steps):
+        inside = (at >= low[:, None]) & (at < high[:, None])
+        table = np.where(inside, codes[np.where(inside, at, 0)], np.uint32(beyond)).astype(np.uint32)
+        out.append([r.tobytes() for r in table])
+    return out[0], out[1]
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text, asks) to what is asked of them; words as 32 bits of their hashes, never 0 or 1."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    for batch in batches:
+        nodes, asks = batch.column("node").to_numpy(zero_copy_only=False), batch.column("asks")
+        ends = asks.offsets.to_numpy()
+        fields = {f.name: asks.values.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(asks.values.type)}
+        for begin, hashes, offsets in chunks(batch.column("text")):
+            codes = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(2)
+            part = slice(ends[begin], ends[begin + len(offsets) - 1])
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(ends[begin : begin + len(offsets)]))
+            kind, other, a, b, shift = (fields[c][part] for c in ("kind", "other", "a", "b", "shift"))
+            for k in (OWN, OTHER):
+                pick = np.flatnonzero(kind == k)
+                low, high = offsets[row[pick]], offsets[row[pick] + 1]
+                x, y = _sides(codes, low, high, low + a[pick], low + b[pick], k)
+                columns = [kind[pick], nodes[begin + row[pick]], other[pick], a[pick], b[pick], shift[pick], x, y]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            pick = np.flatnonzero(kind == MORE)
+            if not len(pick):
+                continue
+            held = set(zip(row[pick].tolist(), a[pick].tolist(), strict=True))
+            mark_row, mark_place, _, mark_size = marks(hashes, offsets)
+            alone: dict[int, list[int]] = {}
+            for r, p, s in zip(mark_row.tolist(), mark_place.tolist(), mark_size.tolist(), strict=True):
+                if not s and (r, p) not in held:
+                    alone.setdefault(r, []).append(p)
+            rows: list[tuple] = []
+            for r in np.unique(row[pick[b[pick] > 0]]).tolist():
+                size = int(offsets[r + 1] - offsets[r])
+                places = np.sort(a[pick[(row[pick] == r) & (b[pick] > 0)]])
+                lonely = np.array(alone.get(r, []), np.int32)
+                for group in np.split(places, np.flatnonzero(np.diff(places) > 2 * MARGIN) + 1):
+                    low, high = max(0, int(group[0]) - MARGIN), min(size, int(group[-1]) + KEY + MARGIN)
+                    near = lonely[(lonely >= low) & (lonely < high)] - low
+                    rows.append((MORE, int(nodes[begin + r]), 0, low, high, 0, codes[offsets[r] + low : offsets[r] + high].tobytes(), near.astype("<i4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _equal(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many words are equal from column i of each row of ``x`` and column j of ``y`` on."""
+    steps = np.arange(REACH)
+    at, to = i[:, None] + steps, j[:, None] + steps
+    inside = (at < REACH) & (to < REACH)
+    rows = np.arange(len(x))[:, None]
+    same = inside & (x[rows, np.minimum(at, REACH - 1)] == y[rows, np.minimum(to, REACH - 1)])
+    return np.where(same.all(axis=1), REACH, same.argmin(axis=1))
+
+
+def repeated(middle: np.ndarray, x: np.ndarray, u: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(alike, left, right): whether ``middle`` equal words and those around them repeat a paragraph, and how far to both sides.
+
+    ``x`` and ``u`` are the words before, nearest first, of one and the other text, ``y`` and ``v`` those after. Equal words are
+    taken on; beyond them one edit is, if the words to its two sides make EDITED.
+    """
+    zero = np.zeros(len(x), np.int64)
+    equal = [_equal(p, q, zero, zero) for p, q in ((x, u), (y, v))]
+    run = middle + equal[0] + equal[1]
+    alike, reach = run >= RUN, []
+    for (p, q), own in zip(((x, u), (y, v)), equal, strict=True):
+        best, taken = zero, zero
+        for i, j in ((1, 1), (1, 0), (0, 1)):  # replaced, one more here, one less here
+            more = _equal(p, q, own + i, own + j)
+            best, taken = np.where(more > best, more, best), np.where(more > best, own + i + more, taken)
+        over = (best >= WORDS) & (run + best >= EDITED)
+        alike = alike | over
+        reach.append(np.where(over, taken, own))
+    return alike, reach[0], reach[1]
 
-def repeated(a: np.ndarray, b: np.ndarray, known: list[tuple[int, int]] = (), least: int = LEAST, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Word spans of ``a`` that ``b`` repeats at any shift, besides those ``known``.
 
-    Every paragraph of ``least`` words of ``a`` is compared with every one of ``b``: the shingles that both hold, repeats
-    included, against all of both, so inserted, deleted and moved words count as what they change. Ends without two equal
-    shingles in a row are left out. Paragraphs without enough shingles of ``b``, or whose part that ``b`` holds is within
-    a known span, need no comparison.
-    """
-    n = least - WORDS + 1
-    if min(len(a), len(b)) < n:
-        return []
-    need = next(c for c in range(n + 1) if c >= similarity * (2 * n - c))
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    inside = high > low
-    sums = np.concatenate([[0], np.cumsum(inside)])
-    starts = np.flatnonzero(sums[n:] - sums[:-n] >= need)
-    if not len(starts):
-        return []
-    at = np.flatnonzero(inside)
-    first, last = at[sums[starts]], at[sums[starts + n] - 1] + WORDS
-
-    out: list[tuple[int, int]] = []
-
-    def open_(spans_: list[tuple[int, int]]) -> np.ndarray:
-        settled, reach, begin = np.zeros(len(starts), bool), -2, 0
-        for start, stop in sorted(spans_):
-            if start == reach + 1 and ((first < reach) & (last > start)).any():  # one word more, within a paragraph
-                out.append((reach, start))
-            elif start > reach:
-                begin, reach = start, stop
-            reach = max(reach, stop)
-            settled |= (first >= begin) & (last <= reach)
-        return ~settled
-
-    left = open_(known)
-    if left.any():  # what stands opposite at other shifts is told at once
-        shifts, often = np.unique(at - order[low[at]], return_counts=True)
-        for shift in shifts[often > n // 2].tolist():
-            d, e = max(shift, 0), max(-shift, 0)
-            size = min(len(a) - d, len(b) - e)
-            out += [(d + x, d + y) for x, y in spans(a[d : d + size], b[e : e + size], least, similarity)]
-        left = open_([*known, *out])
-    starts = starts[left]
-    if not len(starts):
-        return out
-    values = np.unique(a[at])
-    one = (a[:, None] == b).cumsum(axis=1, dtype=np.int16)
-    one = np.concatenate([np.zeros((len(a), 1), np.int16), one], axis=1)
-    sides = np.concatenate([np.zeros((1, len(b) - n + 1), np.int16), (one[:, n:] - one[:, :-n]).cumsum(axis=0, dtype=np.int16)])
-    common = sides[starts + n] - sides[starts]
-    if len(values) < len(at) or (high - low).max() > 1:  # repeats: each counts as often as both hold it
-        mine, other = _counted(a, values, n)[starts], _counted(b, values, n)
-        common = np.zeros((len(mine), len(other)), np.float32)
-        for m in range(1, 1 + min(mine.max(), other.max())):
-            common += (mine >= m).astype(np.float32) @ (other >= m).astype(np.float32).T
-    best = common.argmax(axis=1)
-    good = np.flatnonzero(common[np.arange(len(best)), best] >= need)
-    x, y = (c[:-1].astype(np.uint32) << 16 | c[1:] for c in (a, b))
-    for group in np.split(good, np.flatnonzero(np.diff(starts[good]) > n) + 1):
-        if len(group):
-            s, e = starts[group[0]], starts[group[-1]] + n
-            t, u = best[group].min(), best[group].max() + n
-            two = np.flatnonzero(np.isin(x[s : e - 1], y[t : u - 1]))  # two in a row: 16 bits alone may be equal by chance
-            held = np.flatnonzero(np.isin(a[s:e], b[t:u])) if not len(two) else np.array([two[0], two[-1] + 1])
-            out.append((int(s + held[0]), int(s + held[-1]) + WORDS))
-    return out
+_SPANS = "node long, kept long, start int, stop int"
 
 
-def _both(x: np.ndarray, i: int, y: np.ndarray, j: int) -> list[tuple[int, int]]:
-    """Word spans of ``x`` that ``y`` repeats around a collision at ``i`` and ``j``."""
-    left = min(i, j)  # as far as both reach to the left of the collision
-    a, b = x[i - left :], y[j - left :]
-    n = min(len(a), len(b))
-    known = [(i - left + s, i - left + e) for s, e in spans(a[:n], b[:n])]
-    return known + repeated(x, y, known)
+def _spans(node: np.ndarray, kept: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(node, pa.int64()), pa.array(kept, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "kept", "start", "stop"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, kept, place, x, y, i, j in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "kept_id", "place", "x", "y", "i", "j")), strict=True):
-            a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
-            rows += [(doc, kept, place - i + s, place - i + e) for s, e in _both(a, i, b, j)]
-        doc, kept, start, end = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kept, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "kept_id", "start", "stop"])
+        if not batch.num_rows:
+            continue
+        node, other, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "other", "a", "b"))
+        tables = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REACH) for c in ("x", "u", "y", "v")]
+        alike, left, right = repeated(b + KEY - a, *tables)
+        yield _spans(node[alike], other[alike], (a - left)[alike], (b + KEY + right)[alike])
 
 
-def _keyed(words: int, everywhere: bool):
-    """Keys (key, doc_id, place, open) of runs of ``words`` equal words: those that begin or end with the shingle at a row's place,
-    or all that hold it."""
-    n = words - WORDS + 1
+class _Region:
+    """A stretch of a text (node, a, x: words, y: its bands that no other text has), for runs without such bands."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, docs, places, opens = [], [], [], []
-            for doc, place, code, is_open in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "codes", "open")), strict=True):
-                first, last = max(0, place - n + 1), min(place, len(code) // 2 - n)
-                for at in range(first, last + 1) if everywhere else {at for at in (place - n + 1, place) if first <= at <= last}:
-                    keys.append(xxhash.xxh64_intdigest(code[2 * at : 2 * (at + n)], SEED))
-                    docs.append(doc)
-                    places.append(at if everywhere else place)
-                    opens.append(is_open)
-            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(opens, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "place", "open"])
-
-    return run
+    def __init__(self, words: bytes, alone: bytes) -> None:
+        codes = np.frombuffer(words, np.uint32)
+        self.codes = np.concatenate([codes, np.zeros(1, np.uint32)])
+        self.size = len(codes)
+        with np.errstate(over="ignore"):
+            self.runs = Runs(mix(codes.astype(np.uint64) + np.uint64(1 << 40)))
+        counts = np.zeros(self.size + 1, np.int64)
+        counts[np.frombuffer(alone, "<i4") + 1] = 1
+        self.alone = np.cumsum(counts)
 
+    def shared(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Whether other texts have all bands of each run: one that has a band of its own is not repeated."""
+        last = np.maximum(start + size - KEY + 1, start)
+        return self.alone[np.minimum(last, self.size)] == self.alone[start]
 
-def _joined(spans_: DataFrame, *by: str) -> DataFrame:
-    """Overlapping or touching spans (doc_id, kept_id, start, stop) of a document, and of the same ``by``, as one with the
-    least ``kept_id``."""
-    order = Window.partitionBy("doc_id", *by).orderBy("start", "stop")
-    opens = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    parted = spans_.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    least = parted.groupBy("doc_id", *by, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_id").alias("least"))
-    return least.select("doc_id", F.col("least").alias("kept_id"), "start", "stop")
 
+_RUNS = "key long, node long, start int, size int, before long, after long, open boolean"
 
-def _unresolved(hits: DataFrame, found: DataFrame, codes: DataFrame) -> DataFrame:
-    """Spans of exactly fifty equal words at collisions that the comparison with their hash's least document left open.
 
-    That document may share less than a passage, say a common line, with the others, which may share a passage with one
-    another. A collision is settled if that document's span holds it, or if any span holds all runs of fifty words
-    around it. All places of a hash with an open one that share a run of 24 words to one side with an open one (fifty words
-    around a shingle have such a run) are taken on, and all their runs of fifty words are grouped by hash, exactly.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, a, x, y, places) to all runs of RUN and of HALF words around the places, with the words beside the latter."""
+    names = [c.split()[0] for c in _RUNS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    for batch in batches:
+        for node, a, x, y, places in zip(*(batch.column(c).to_pylist() for c in ("node", "a", "x", "y", "places")), strict=True):
+            region = _Region(x, y)
+            at, is_open = (np.array([p[c] for p in places]) for c in ("place", "open"))
+            inside = (at >= a) & (at + KEY <= a + region.size)
+            at, is_open = at[inside] - a, is_open[inside]
+            for size in (RUN, HALF):
+                n = region.size - size + 1
+                if n <= 0:
+                    continue
+                counts = np.zeros((2, n + 1), np.int64)
+                for k, some in enumerate((at, at[is_open])):
+                    np.add.at(counts[k], np.clip(some - (size - KEY), 0, n), 1)
+                    np.add.at(counts[k], np.clip(some + 1, 0, n), -1)
+                near = np.cumsum(counts, axis=1)[:, :n] > 0
+                start = np.flatnonzero(near[0])
+                start = start[region.shared(start, size)]
+                keys = mix(region.runs.at(start, size) + np.uint64(size)).view(np.int64)
+                beside = [np.zeros(len(start), np.int64)] * 2 if size == RUN else [region.codes[start - 1].astype(np.int64), region.codes[start + size].astype(np.int64)]
+                columns = [keys, np.full(len(start), node), start + a, np.full(len(start), size), *beside, near[1][start]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+_VARIANTS = "key long, node long, start int, stop int"
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, a, x, y, places) to all EDITED words with and without one between, that stands beside a run of HALF.
+
+    Two paragraphs that differ by one word replaced have such words in common without it, by one inserted or deleted where
+    the one has it between and the other has not.
     """
-    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kept_id")).alias("gone"))
-    place, margin = F.col("place"), LEAST - WORDS
-    inside = F.exists(
-        "gone",
-        lambda s: ((place >= s["start"]) & (place + WORDS <= s["stop"]) & (s["kept_id"] == F.col("kept_id")))
-        | ((place - margin >= s["start"]) & (place + LEAST <= s["stop"])),
-    )
-    state = F.col("gone").isNull() | ~inside
-    marked = written(hits.join(gone, "doc_id", "left").select("hash", "doc_id", "place", (state & (F.col("doc_id") != F.col("kept_id"))).alias("open")), "open")
-    places = marked.join(marked.where("open").select("hash").distinct(), "hash", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
-    half = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST // 2 - 1, False), "key long, doc_id long, place int, open boolean"), "half")
-    shared = half.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.max("open").alias("open")).where("least < last AND open").select("key")
-    places = half.join(written(shared, "shared"), "key", "left_semi").groupBy("doc_id", "place").agg(F.max("open").alias("open"))
-    runs = written(places.join(codes, "doc_id").mapInArrow(_keyed(LEAST, True), "key long, doc_id long, place int, open boolean").drop("open").distinct(), "runs")
-    least = runs.groupBy("key").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).where("kept_id < last").select("key", "kept_id")
-    again = runs.join(written(least, "least"), "key").where("doc_id <> kept_id")
-    for done in (marked, half):
-        drop(done)
-    return again.select("doc_id", "kept_id", F.col("place").alias("start"), (F.col("place") + LEAST).alias("stop"))
-
-
-def _first_repeats(docs: np.ndarray, places: np.ndarray, opens: np.ndarray, parts: list[np.ndarray], at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Spans (doc_id, kept_id, start, stop) of the open collisions of one hash with earlier documents.
-
-    Rows are in order of doc_id; ``parts`` are the shingles around each collision, which stands there ``at``. Paragraphs
-    that are alike share ``need`` shingles, so their surroundings do too, repeats told apart, and share one of the
-    rarest: only rows that do are counted, and only those that reach ``need`` are compared. Earlier documents are tried
-    in order until one repeats the collision's own place; that collision is then not open any more.
+    less = np.arange(WORDS, EDITED - HALF + 1)
+    for batch in batches:
+        for node, a, x, y, places in zip(*(batch.column(c).to_pylist() for c in ("node", "a", "x", "y", "places")), strict=True):
+            region = _Region(x, y)
+            keys, starts, stops = [], [], []
+            for left, side in ((True, "left"), (False, "right")):
+                at = np.array([p["start"] for p in places if p[side]], np.int64) - a
+                at = at[(at >= 0) & (at + HALF <= region.size)]
+                edit = at - 1 if left else at + HALF  # the word that differs
+                for skip in (0, 1):
+                    e, some = (c.ravel() for c in np.meshgrid(edit, less, indexing="ij"))
+                    if left:
+                        then, more = e + 1, EDITED - some
+                        first, size = then - skip - some, some
+                    else:
+                        first, size = e - (EDITED - some), EDITED - some
+                        then, more = e + skip, some
+                    ok = (first >= 0) & (then + more <= region.size) & (e >= 0) & (e < region.size)
+                    first, size, then, more = (c[ok] for c in (first, size, then, more))
+                    ok = region.shared(first, size) & region.shared(then, more)
+                    first, size, then, more = (c[ok] for c in (first, size, then, more))
+                    keys.append(mix(region.runs.joined(first, size, then, more) + np.uint64(EDITED)))
+                    starts.append(first + a)
+                    stops.append(then + more + a)
+            keys, starts, stops = np.concatenate(keys).view(np.int64), np.concatenate(starts), np.concatenate(stops)
+            columns = [pa.array(keys), pa.array(np.full(len(keys), node), pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "start", "stop"])
+
+
+def _star(rows: DataFrame, name: str) -> DataFrame:
+    """Spans (node, kept, start, stop) of rows (key, node, start, stop) whose key an earlier node has."""
+    least = written(rows.groupBy("key").agg(F.min("node").alias("kept"), F.max("node").alias("last")).where("kept < last").select("key", "kept"), name)
+    return rows.join(least, "key").where("node <> kept").select("node", "kept", "start", "stop")
+
+
+def _left_open(hits: DataFrame, found: DataFrame, regions: DataFrame) -> DataFrame:
+    """Spans of paragraphs whose bands the first text of each band's group does not settle.
+
+    That text may share less than a paragraph, say a common line, with others that share one with one another. Bands
+    outside of what was found are open, and all rows of a band with an open one are taken on: their paragraphs
+    are grouped by hash, those of RUN equal words as they are, and those with an edit by their words without it. So all
+    texts that share one are found by an aggregate, however many there are, and no two texts are paired.
     """
-    n = LEAST - WORDS + 1
-    need = next(c for c in range(n + 1) if c >= SIMILARITY * (2 * n - c))
-    sizes = np.array([len(p) for p in parts])
-    row = np.repeat(np.arange(len(parts)), sizes)
-    value = np.concatenate(parts)
-    order = np.lexsort((value, row))
-    value, ends = value[order].astype(np.int64), np.cumsum(sizes)
-    fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    k = np.arange(len(value))
-    _, token, often = np.unique(value << 16 | (k - np.maximum.accumulate(np.where(fresh, k, 0))), return_inverse=True, return_counts=True)
-    order = np.lexsort((token, often[token], row))
-    token = token[order]
-    table = np.full((len(parts), sizes.max()), len(often))
-    table[row, k - (ends - sizes)[row]] = token
-    rare = k - (ends - sizes)[row] < sizes[row] - need + 1
-    by = np.lexsort((row[rare], token[rare]))
-    keys, held = token[rare][by], row[rare][by]
-    out, flag = [], np.zeros(len(often) + 1, bool)
-    for r in np.flatnonzero(opens & (sizes >= n)):
-        before = np.searchsorted(docs, docs[r])
-        mine = table[r, : max(0, sizes[r] - need + 1)]
-        first, last = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-        lists = [held[a:b] for a, b in zip(first, last, strict=True) if b - a > 1]
-        flag[table[r, : sizes[r]]] = True
-        low, step = 0, 256
-        while low < before and lists:
-            high = min(low + step, before)
-            near = np.unique(np.concatenate([x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in lists]))
-            done = False
-            for c in near[flag[table[near]].sum(axis=1) >= need]:
-                found = repeated(parts[r], parts[c])
-                out += [(int(docs[r]), int(docs[c]), int(places[r] - at[r] + s), int(places[r] - at[r] + e)) for s, e in found]
-                done = any(s <= at[r] and at[r] + WORDS <= e for s, e in found)
-                if done:
-                    break
-            if done:
-                opens[r] = False
-                break
-            low, step = high, 2 * step
-        flag[table[r, : sizes[r]]] = False
+    gone = found.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    inside = F.exists("gone", lambda s: (F.col("place") >= s["start"]) & (F.col("place") + KEY <= s["stop"]))
+    is_open = (F.col("node") != F.col("kept")) & ~F.coalesce(inside, F.lit(False))
+    marked = written(hits.where("more AND size = 0").join(gone, "node", "left").select("key", "node", "place", is_open.alias("open")), "marked")
+    asked = written(marked.groupBy("key").agg(F.max("open").alias("any")).where("any").select("key"), "asked")
+    places = marked.join(asked, "key").groupBy("node").agg(F.collect_set(F.struct("place", "open")).alias("places"))
+    runs = written(regions.join(places, "node").select("node", "a", "x", "y", "places").mapInArrow(_runs, _RUNS), "runs")
+    groups = runs.groupBy("key").agg(
+        F.min("node").alias("kept"), F.max("node").alias("last"), F.max("open").alias("any"),
+        (F.min("before") < F.max("before")).alias("left"), (F.min("after") < F.max("after")).alias("right"), F.max("size").alias("run"),
+    )
+    groups = written(groups.where(f"kept < last AND any AND (run = {RUN} OR left OR right)").select("key", "kept", "left", "right"), "groups")
+    both = runs.join(groups, "key")
+    equal = both.where(f"size = {RUN} AND node <> kept").select("node", "kept", "start", (F.col("start") + RUN).alias("stop"))
+    beside = both.where(f"size = {HALF}").groupBy("node", "start").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    beside = beside.groupBy("node").agg(F.collect_list(F.struct("start", "left", "right")).alias("places"))
+    edited = written(regions.join(beside, "node").select("node", "a", "x", "y", "places").mapInArrow(_variants, _VARIANTS), "variants")
+    out = written(equal.unionByName(_star(edited, "alike")).distinct(), "open")
+    for done in (marked, asked, runs, groups, edited):
+        drop(done)
     return out
 
 
-def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, doc_id, place, open, x, i) in order of hash and doc_id to the spans of ``_first_repeats``."""
-    names = ["doc_id", "kept_id", "start", "stop"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-    def settled(rows: list[tuple]) -> pa.RecordBatch:
-        _, docs, places, opens, x, i = zip(*rows, strict=True)
-        docs, places, opens, i = np.array(docs), np.array(places), np.array(opens), np.array(i)
-        parts, found = [np.frombuffer(c, "<u2") for c in x], []
-        for b in range(0, len(rows), BLOCK):  # all blocks meet, two at a time: memory does not grow with the group
-            for a in range(0, b + 1, BLOCK):
-                pick = np.unique(np.r_[a : min(a + BLOCK, len(rows)), b : min(b + BLOCK, len(rows))])
-                is_open = opens[pick] & (pick >= b)
-                if is_open.any():
-                    found += _first_repeats(docs[pick], places[pick], is_open, [parts[k] for k in pick], i[pick])
-                    opens[pick[pick >= b]] = is_open[pick >= b]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(types)], names=names)
-
-    rows: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "doc_id", "place", "open", "x", "i")), strict=True):
-            if rows and rows[-1][0] != row[0]:
-                yield settled(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield settled(rows)
-
+def _joined(spans: DataFrame) -> DataFrame:
+    """Overlapping or touching spans (node, kept, start, stop) of a text as one with the least ``kept``."""
+    order = Window.partitionBy("node").orderBy("start", "stop")
+    opens = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    parted = spans.distinct().withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return parted.groupBy("node", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept").alias("kept")).drop("part")
 
-def _near_again(hits: DataFrame, found: DataFrame, exact: DataFrame, leaders: DataFrame, codes: DataFrame) -> DataFrame:
-    """Spans of collisions that neither the least document of their hash nor a run of fifty equal words settles.
 
-    Each is compared with all places of all earlier documents of its hash that can be near. Copies of whole documents take
-    no part, as ``leaders`` lacks them: all their words go.
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, stop, kept_id, component_id): word spans that an earlier document has too, to be removed.
+
+    Words are parted by ASCII white space and compared with A-Z lower-cased, by hashes of 64 bits, and of 32 around
+    collisions; spans count them from 0. Texts all of whose words equal an earlier document's are one span. For the others,
+    paragraphs collide under MinHash bands (``marks``); each stretch of collisions with the first document of their bands is compared
+    by words (``repeated``), and what that leaves open is grouped by exact hashes of paragraphs (``_left_open``).
+    Overlapping spans are joined; ``kept_id`` is the least document that holds a part. ``component_id`` is the least
+    document in the component of documents that such spans link; its passages stay.
+
+    A paragraph that is alike one of an earlier document always shares a band with it. Up to ten words may stay at
+    an end of a removal where a third document repeats that little more. A passage repeated within one document only is left
+    alone, and so are texts of fewer than fifty words and null ones. Words that repeat in periods of ten or fewer over a paragraph
+    count as one passage, whatever word it begins with. doc_id null takes no part; rows repeated
+    with doc_id and text count once; several texts under one doc_id are documents of their own, told apart by
+    ``text_hash`` (xxhash64 of the text), in an order of their own. Tables without rows give none; other columns are not read.
+    Texts may have any length: memory grows with the longest.
     """
-    place, margin = F.col("place"), LEAST - WORDS
-    spans_ = found.withColumn("any", F.lit(False)).unionByName(_joined(exact).withColumn("any", F.lit(True)))
-    gone = spans_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "kept_id", "any")).alias("gone"))
-    inside = F.exists(
-        "gone",
-        lambda s: ((place >= s["start"]) & (place + WORDS <= s["stop"]) & (s["any"] | (s["kept_id"] == F.col("kept_id"))))
-        | ((place - margin >= s["start"]) & (place + LEAST <= s["stop"])),
+    docs = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    clash = docs.groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("clash"))
+    clash = written(clash, "clash")
+    node = F.when(F.col("clash"), F.xxhash64("doc_id", "text_hash")).otherwise(F.col("doc_id"))
+    several = written(docs.join(clash, "doc_id").select("doc_id", "text_hash", node.alias("node")).distinct(), "several")
+    docs = docs.join(clash, "doc_id", "left").select(node.alias("node"), "text", "text_hash")
+    base = written(docs.select("node", "text").mapInArrow(_marked, "node long, key long, place int, first boolean, size int"), "marks")
+
+    heads = base.where("place = -1").select("node", F.col("key").alias("name"), F.col("size").alias("words")).distinct()
+    names = written(heads.groupBy("name").agg(F.min("node").alias("kept"), F.max("node").alias("last")).where("kept < last").select("name", "kept"), "names")
+    twins = written(heads.join(names, "name").where("node <> kept").select("node", "kept", F.lit(0).alias("start"), F.col("words").alias("stop")), "twins")
+    body = base.where("place >= 0").join(twins.select("node"), "node", "left_anti")
+    own = F.when(F.col("first"), F.col("node"))
+    shared = body.groupBy("key").agg(
+        F.min("node").alias("kept"), F.max("node").alias("last"), F.min_by(F.when(F.col("first"), F.col("place")), own).alias("origin"), F.count(F.lit(1)).alias("rows")
     )
-    state = (F.col("gone").isNull() | ~inside) & (F.col("doc_id") != F.col("kept_id"))
-    marked = hits.join(leaders, "doc_id", "left_semi").join(gone, "doc_id", "left").select("hash", "doc_id", "place", state.alias("open"))
-    marked = written(marked, "again")
-    # two rows are a collision that was compared already
-    asked = marked.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 2 AND open").select("hash")
-    first = F.greatest(place - (LEAST - WORDS), F.lit(0))
-    around = F.substring(F.col("codes"), 2 * first + 1, 2 * (place + LEAST - WORDS + 1 - first))
-    rows = marked.join(asked, "hash", "left_semi").join(codes, "doc_id").select("hash", "doc_id", "place", "open", around.alias("x"), (place - first).alias("i"))
-    again = rows.repartition("hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(_regrouped, "doc_id long, kept_id long, start int, stop int")
-    again = written(again, "near")
-    drop(marked)
-    return again
+    shared = written(shared.where("kept < last").select("key", "kept", "origin", (F.col("rows") > 2).alias("more")), "shared")
+    hits = written(body.join(shared, "key").select("key", "node", "place", "first", "size", "kept", "origin", "more"), "hits")
+    drop(base)
+    drop(shared)
+    periods = hits.where("size > 0 AND node <> kept").select("node", "kept", F.col("place").alias("start"), (F.col("place") + F.col("size")).alias("stop"))
+
+    # bands at most KEY words apart that have the same shift prove all words between equal: one stretch
+    places = hits.where("size = 0 AND first AND node <> kept").select("node", "kept", "place", (F.col("place") - F.col("origin")).alias("shift"))
+    order = Window.partitionBy("node", "kept", "shift").orderBy("place")
+    opens = F.coalesce(F.col("place") - F.lag("place").over(order) > KEY, F.lit(True)).cast("int")
+    stretch = places.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order)).groupBy("node", "kept", "shift", "part")
+    stretch = written(stretch.agg(F.min("place").alias("a"), F.max("place").alias("b")), "stretches")
+
+    zero = F.lit(0)
+    asks = stretch.select("node", F.lit(OWN).alias("kind"), F.col("kept").alias("other"), "a", "b", "shift")
+    theirs = stretch.select(F.col("kept").alias("node"), F.lit(OTHER).alias("kind"), zero.cast("long").alias("other"), (F.col("a") - F.col("shift")).alias("a"), (F.col("b") - F.col("shift")).alias("b"), zero.alias("shift"))
+    all_ = hits.where("size = 0").select("node", F.lit(MORE).alias("kind"), zero.cast("long").alias("other"), F.col("place").alias("a"), F.col("more").cast("int").alias("b"), zero.alias("shift"))
+    asks = asks.unionByName(theirs.unionByName(all_).distinct()).groupBy("node").agg(F.collect_list(F.struct("kind", "other", "a", "b", "shift")).alias("asks"))
+    texts = docs.join(asks.hint("merge"), "node").select("node", "text", "asks")
+    parts = written(texts.mapInArrow(_fetched, _PARTS), "parts")
+    theirs = parts.where(f"kind = {OTHER}").select(F.col("node").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("x").alias("u"), F.col("y").alias("v")).dropDuplicates(["other", "c", "d"])
+    theirs = written(theirs, "theirs")
+    pairs = parts.where(f"kind = {OWN}").withColumn("c", F.col("a") - F.col("shift")).withColumn("d", F.col("b") - F.col("shift")).join(theirs, ["other", "c", "d"])
+    near = pairs.select("node", "other", "a", "b", "x", "u", "y", "v").mapInArrow(_compared, _SPANS)
+
+    found = written(near.unionByName(periods).unionByName(twins).distinct(), "found")
+    regions = parts.where(f"kind = {MORE}").select("node", "a", "x", "y").distinct()
+    more = _left_open(hits, found, regions)
+    spans = written(_joined(found.unionByName(more)), "spans")
+    for done in (hits, stretch, parts, theirs, found, more, names, twins):
+        drop(done)
+    roots = components(spans.select(F.col("node").alias("a"), F.col("kept").alias("b"))).withColumnRenamed("node", "id")
+    out = spans.join(roots, spans["node"] == roots["id"]).select("node", "start", "stop", "kept", "root")
+    return _named(out, several)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, kept_id, component_id): word spans that an earlier document has too, to be removed.
-
-    Words are parted by ASCII white space and compared with A-Z lower-cased; spans count them from 0 and come from
-    paragraphs of fifty, less unequal ends. A document of at least fifty words whose words all equal an earlier document's is one span. For the others, the
-    MinHashes of their paragraphs collide under bands; each collision is compared with the least doc_id of its hash, what that
-    leaves open with the others that can be near (``_near_again``), and stands where paragraphs of fifty words have a Jaccard similarity of 0.8 or more (shingles are told
-    apart by 16 bits each). Overlapping spans are joined; ``kept_id`` is the least document that holds a part.
-    ``component_id`` is the least document in the component of documents that such spans link; its passages stay.
-
-    A passage of fifty words or more that stands unchanged in several documents is always found: a paragraph within it
-    has the same MinHash in all, and what the comparison leaves open goes through ``_unresolved``. A passage repeated within one document only is left alone. Texts null or of
-    fewer words have no row; doc_id null takes no part; repeated rows count once.
-    """
-    docs = small_batches(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(docs.mapInArrow(_described, "doc_id long, name long, words int, codes binary, hashes array<long>, places array<int>"), "paragraphs")
-    names = base.groupBy("name").agg(F.min("doc_id").alias("least"))
-    twins = written(base.select("doc_id", "name", "words").join(names, "name").where(f"words >= {LEAST}").select("doc_id", "least", "words"), "twins")
-    exact = twins.where("doc_id <> least").select("doc_id", F.col("least").alias("kept_id"), F.lit(0).alias("start"), F.col("words").alias("stop")).distinct()
-    laid = base.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("m")).select("doc_id", F.col("m.hashes").alias("hash"), F.col("m.places").alias("place"))
-    shared = laid.groupBy("hash").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("last")).where("kept_id < last").select("hash", "kept_id")
-    hits = written(laid.join(written(shared, "shared"), "hash"), "hits")
-    origin = hits.where("doc_id = kept_id").groupBy("hash").agg(F.min("place").alias("origin"))
-    # one collision a stretch is enough for a document, its counterpart and their shift
-    asked = hits.where("doc_id <> kept_id").join(origin, "hash").select("doc_id", "kept_id", "place", (F.col("place") - F.col("origin")).alias("shift"))
-    asked = asked.groupBy("doc_id", "kept_id", "shift", F.floor(F.col("place") / STRIDE).alias("stretch")).agg(F.min("place").alias("place")).drop("stretch")
-    leaders = twins.where("doc_id = least").select("doc_id").distinct()
-    asked = asked.join(leaders, "doc_id", "left_semi")
-    codes = base.select("doc_id", "codes").where(f"words >= {LEAST}")
-
-    def around(place) -> tuple:
-        first = F.greatest(place - REACH, F.lit(0))
-        return F.substring(F.col("codes"), 2 * first + 1, 2 * (place + REACH + 1 - first)), place - first
-
-    x, i = around(F.col("place"))
-    pairs = asked.join(codes, "doc_id").select(F.col("doc_id"), "kept_id", "place", "shift", x.alias("x"), i.alias("i"))
-    other = codes.select(F.col("doc_id").alias("kept_id"), "codes")
-    y, j = around(F.col("place") - F.col("shift"))
-    pairs = pairs.join(other, "kept_id").select("doc_id", "kept_id", "place", "x", "i", y.alias("y"), j.alias("j"))
-    near = pairs.mapInArrow(_compared, "doc_id long, kept_id long, start int, stop int")
-    found = written(_joined(near.unionByName(exact), "kept_id"), "spans")
-    runs = written(_unresolved(hits, found, codes), "runs")
-    again = _near_again(hits, found, runs, leaders, codes)
-    found = written(_joined(found.unionByName(runs).unionByName(again)), "joined")
-    drop(hits)
-    roots = components(found.select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b"))).withColumnRenamed("node", "doc_id")
-    return found.join(roots, "doc_id").select("doc_id", "start", "stop", "kept_id", F.col("root").alias("component_id"))
+def _named(spans: DataFrame, several: DataFrame) -> DataFrame:
+    """Nodes back to document ids; ``several`` (node, doc_id, text_hash) holds those that are not their own id."""
+    out = spans
+    for column, name in (("node", "doc_id"), ("kept", "kept_id"), ("root", "component_id")):
+        ids = several.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), *([F.col("text_hash")] if column == "node" else []))
+        out = out.join(ids, out[column] == ids["__node"], "left").withColumn(name, F.coalesce("__id", column)).drop("__node", "__id")
+    return out.select("doc_id", "text_hash", "start", "stop", "kept_id", "component_id")
 
 
 def cut(text: str, gone: list[tuple[int, int]]) -> str:
@@ -435,11 +479,13 @@ def _cut(names: list[str]):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``repeats`` cut out of their texts; documents of which no word is left go.
 
-    Documents that lose nothing stay as they are. Where a column n_chars counts characters, it is set anew for those cut.
+    Documents that lose nothing, null and empty texts among them, stay as they are. Where a column n_chars counts
+    characters, it is set anew for those cut; other columns stay, whatever their names.
     """
-    gone = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
-    gone = written(gone.withColumnRenamed("doc_id", "__id"), "gone")
-    rows = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
+    gone = repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
+    gone = written(gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "gone")
+    same = (docs["doc_id"].cast("long") == gone["__id"]) & (gone["__hash"].isNull() | (F.xxhash64(docs["text"]) == gone["__hash"]))
+    rows = docs.join(gone.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], "__gone")
     return rows.mapInArrow(_cut(docs.columns), docs.schema)
 
 
