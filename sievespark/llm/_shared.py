@@ -15,11 +15,17 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A temporary folder stands in where that is unset and the master is local, as in tests; on a cluster it is an error,
+    as each machine would have a folder of its own.
+    """
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="sievespark-")
     return _own_dir
@@ -35,17 +41,25 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's bound on Arrow batches to BATCH_BYTES where it is higher.
+    """``df``, in a session whose Arrow batches are bounded: by BATCH_BYTES where the user has set no bound.
 
-    Ten thousand long texts would else be one batch, several copies of which are in memory on both sides.
+    Ten thousand long texts would else be one batch, several copies of which are in memory on both sides. The bound is
+    read when a lazy result runs, so it stays with the session; a user's own setting is left as it is.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
-    if now > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(key):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read from there: the lineage ends here, a lost executor costs nothing."""
     spark = df.sparkSession
@@ -69,31 +83,31 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): rows (node, root), root the smallest node reachable.
 
-    Alternates large-star and small-star (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). Each
-    step is an aggregate, whose partial sums keep a node of many edges out of a single task, and an equi-join, which
-    adaptive execution can split. Every round is written, so lineage stays short. Nothing is collected but two numbers
+    Alternates large-star and small-star (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) until
+    nothing changes, which takes rounds by the logarithm of the nodes. Each step is an aggregate, whose partial sums keep
+    a node of many edges out of a single task; it is written before the join with it, so that adaptive execution
+    can split that node's edges there too. Every round is written, so lineage stays short. Nothing is collected but two numbers
     a round. Self loops and repeated edges do no harm; nodes without an edge to another node get no row.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     now = written(edges.where("a <> b").select(big.alias("u"), small.alias("v")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
+        first = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        second = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        star = large.join(second, "u")
         new = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = written(new, "edges")
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(now)
+        for gone in (now, first, large, second):
+            drop(gone)
         now = new
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
