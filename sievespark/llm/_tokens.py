@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -31,10 +32,26 @@ def chunks(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
         yield now
 
 
+def drops_space(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) lowers the text, drops white space and never merges across it, and marks ends of words."""
+    rules, split, added = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    rules, split = rules.get("normalizers", [rules]), split.get("pretokenizers", [split])
+    if [r.get("type") for r in rules] != ["NFC", "Replace", "Lowercase"] or rules[1].get("pattern") != {"Regex": r"\s+"} or rules[1].get("content") != " ":
+        return False
+    if [p.get("type") for p in split] != ["Split", "ByteLevel"] or split[0].get("behavior") != "Removed" or not split[0].get("invert"):
+        return False
+    pattern = split[0].get("pattern", {}).get("Regex", "")
+    if not pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") or split[1].get("add_prefix_space") or split[1].get("use_regex"):
+        return False
+    model = spec.get("model", {})
+    plain = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not spec.get("post_processor") and not spec.get("truncation")
+
+
 class WordIds:
-    """Ids of a tokenizer of the library ``tokenizers`` whose pre-tokens never cross white space.
+    """Ids of a tokenizer of the library ``tokenizers``: word by word where its pre-tokens never cross white space.
 
-    The text's spaces and line feeds, which its normaliser treats alike, cut it into words; each word's ids are the
+    Where ``drops_space`` does not know the tokenizer's rules, whole texts are given to the library. Where it does, the text's spaces and line feeds, which its normaliser treats alike, cut it into words; each word's ids are the
     library's own. A word of Latin-1 letters and closing marks is two pre-tokens and is put together from them; Latin-1
     and ASCII words are looked up in lower case, as the normaliser lowers them, but as they stand where their lower case
     holds an added token.
@@ -45,6 +62,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = drops_space(json.loads(self.tokenizer.to_str()))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
@@ -108,6 +126,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``dtype``."""
+        if not self.by_word:
+            return [np.array(c.ids, self.dtype).tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         missing = words.difference(self.known)

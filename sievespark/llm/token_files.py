@@ -18,7 +18,7 @@ from ._shared import new_path, small_batches
 from ._tokens import WordIds, chunks, once
 
 END = 1
-_MANIFEST = "part int, name string, width int, n_docs long, n_ids long"
+_MANIFEST = "part int, name string, width int, id_type string, n_docs long, n_ids long"
 
 
 def _writer(model: str, folder: str, end: int, id_type: pa.DataType):
@@ -51,8 +51,9 @@ def _writer(model: str, folder: str, end: int, id_type: pa.DataType):
         docs = pa.concat_arrays(keys)
         with fs.open_output_stream(f"{root}/{name}.docs") as f, pa.ipc.new_file(f, pa.schema([("doc_id", id_type)])) as w:
             w.write_batch(pa.record_batch([docs], names=["doc_id"]))
-        row = {"part": part, "name": name, "width": width, "n_docs": len(docs), "n_ids": at}
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        row = {"part": part, "name": name, "width": width, "id_type": "long" if id_type == pa.int64() else "string", "n_docs": len(docs), "n_ids": at}
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema(list(zip(row, kinds, strict=True))))
 
     return run
 
@@ -64,14 +65,18 @@ def write_ids(docs: DataFrame, model: str, folder: str, end: int = END) -> DataF
     little-endian integers (16 bits where the vocabulary allows, else 32), with a file of 64-bit offsets and one of
     document ids. A task names its files anew at each attempt, and the manifest lists those of the attempts that
     counted, so a lost executor leaves at most files that nothing names. Returns the manifest: one row a file, with
-    ``base``, the ids before it, as prefix sum over the files. Text null is empty; doc_id null comes first; repeated
-    rows are documents of their own.
+    ``base``, the ids before it, as prefix sum over the files.
+
+    Ids of integer types are kept and ordered as longs, all others as strings. Text null is empty, and an empty one has
+    the end alone; texts of any length are encoded whole; doc_id null comes first; repeated rows are documents of their own,
+    in any order; a table without rows gives no file; other columns are not read.
     """
     spark = docs.sparkSession
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    kind = pa.int64() if docs.schema["doc_id"].dataType.typeName() == "long" else pa.string()
-    ids = F.col("doc_id") if kind == pa.int64() else F.col("doc_id").cast("string").alias("doc_id")
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind = pa.int64() if whole else pa.string()
+    ids = F.col("doc_id").cast("long" if whole else "string").alias("doc_id")
     rows = small_batches(docs).select(ids, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(_writer(model, folder, end, kind), _MANIFEST).write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,9 +113,10 @@ def _reader(folder: str, id_type: pa.DataType):
     return run
 
 
-def read_ids(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files: ``start`` counts the ids before it in all files."""
-    n = max(1, manifest.count())
+    files = manifest.agg(F.count(F.lit(1)).alias("n"), F.first("id_type").alias("id_type")).first()
+    n, id_type = max(1, files["n"]), files["id_type"] or "long"
     kind = pa.int64() if id_type == "long" else pa.string()
     return manifest.repartition(n).mapInArrow(_reader(folder, kind), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 

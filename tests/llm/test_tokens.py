@@ -151,3 +151,29 @@ def test_encode(spark):
         assert r.exact == (pieces.SPACE not in text) and r.n_pieces == len(r.ids) and r.n_bytes == len(text.encode())
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
     assert pieces.encode(docs(spark).limit(0), MODEL, ["doc_id"]).count() == 0
+
+
+def test_other_tokenizers_read_whole_texts():
+    path = public.path("byte_bpe_50k.json")
+    own, library = WordIds(path), tokenizers.Tokenizer.from_file(path)
+    assert not own.by_word and WordIds(WORDS).by_word
+    some = texts(300, 7) + ["Hello World"]
+    for text, code in zip(some, own.encode(some), strict=True):
+        assert np.frombuffer(code, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_token_files_are_in_order_of_ids(spark, kind):
+    ids = [1, 2, 9, 10, 11, 100, -3]
+    folder = new_path(spark, "t")
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").selectExpr(f"cast(doc_id AS {kind}) AS doc_id", "text").repartition(3)
+    rows = sorted(token_files.read_ids(token_files.write_ids(df, WORDS, folder), folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(map(str, ids) if kind == "string" else ids)
+
+
+def test_encode_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, True, 9, "t", [1]), (1, "a b", 5, True, 9, "t", [1]), (2, "x " * 50_000, 0, None, 0, None, None)], "doc_id long, text string, score int, exact boolean, n_bytes int, __text string, ids array<int>")
+    out = pieces.encode(df, MODEL, df.columns, with_ids=True)
+    rows = out.orderBy("doc_id").collect()
+    assert sorted(out.columns) == sorted(["doc_id", "text", "__text", "n_bytes", "n_pieces", "ids_crc32", "score", "exact", "decoded_crc32", "ids"])
+    assert [r.n_bytes for r in rows] == [3, 3, 100_000] and all(r.exact for r in rows)
