@@ -230,7 +230,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, certainty: float
 
     Vectors null, zero, empty or with null or non-finite components take no part, nor do vectors of another length than
     the most frequent one (the shorter, on a tie). Ties of distance go to the smaller vec_id. Rows repeated with their
-    vec_id count once. Fewer candidates than ``k``: all of them.
+    vec_id count once; of different vectors under one vec_id the one with the least hash counts. Fewer candidates than ``k``: all of them.
     """
     spark = vectors.sparkSession
     limit = quantile(certainty, DIMS)
@@ -240,7 +240,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, certainty: float
     if common is None:
         return empty
     width = common["n"]
-    rows = rows.where(F.size("v") == width)
+    rows = rows.where(F.size("v") == width).withColumn("h", F.xxhash64("v"))
+    several = written(rows.groupBy("vec_id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one <> other").select("vec_id", "one"), "several")
+    rows = rows.join(several, "vec_id", "left").where("one IS NULL OR one = h").drop("h", "one")
     place = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     points = written(rows.withColumn("p", place).where(F.col("p") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "points")
     asked = written(rows.where("q").select("vec_id", "v"), "asked")
