@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import fresh, small_batches
 
 #: Bytes of a window; neighbouring windows overlap so that no filter misses a stretch at their border.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 OVERLAP = max(WIDTHS) - 1
-#: Bounds of the training sample: documents a language, windows a document, languages (the most frequent).
-PER_LANG, PER_DOC, LANGS = 500, 4, 100
+#: Bounds of the training sample: documents a language, windows a document.
+PER_LANG, PER_DOC = 500, 4
 BLOCK = 128
-#: A document is of a known language if its probability is at least this.
+#: A document is of a known language if its probability is at least this, or twice that of chance where that is less.
 LEAST_SCORE = 0.5
 
 
@@ -131,15 +131,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, max_langs: int = LANGS) -> Network | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> Network | None:
     """Learns from a bounded sample of labelled documents that are not held out; None where there are none.
 
-    Documents are drawn by the hash of their id, at a rate that gives each of the ``max_langs`` most frequent languages
-    about twice ``per_lang``; of these the least hashes count, at most ``per_lang`` a language, and of each document
-    ``per_doc`` stretches at hashed places. The driver sees no more than that.
+    Documents are drawn by the hash of their id, at a rate that gives each language about twice ``per_lang``; of these
+    the least hashes count, at most ``per_lang`` a language, and of each document ``per_doc`` stretches at hashed places.
+    The driver sees no more than that and one count a language; every language of the labels is learned.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_lang / n))])
@@ -161,17 +161,16 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, max_l
     return train(np.stack(data), np.array(labels), langs)
 
 
-def _judged(net: Network):
+def _judged(net: Network | None, text: str, letters: str, keep: list[str], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            names = [c for c in batch.schema.names if c not in ("__text", "__letters")]
-            for text, letters in zip(batch.column("text" if "text" in names else "__text"), batch.column("__letters").to_pylist(), strict=True):
-                if not letters:
+            for value, lettered in zip(batch.column(text), batch.column(letters).to_pylist(), strict=True):
+                if not lettered:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                data = text.as_py().encode()
+                data = value.as_py().encode()
                 chance = net.probabilities(windows(data))
                 weight = np.full(len(chance), float(WINDOW))
                 weight[-1] = max(1, len(data) - (len(chance) - 1) * (WINDOW - OVERLAP))
@@ -179,30 +178,39 @@ def _judged(net: Network):
                 best = int(mean.argmax())
                 langs.append(net.langs[best])
                 scores.append(min(1.0, float(mean[best])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     return run
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score of the whole text: its windows' probabilities, averaged by length.
+def predict(docs: DataFrame, net: Network | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` with the language (lang_pred) and score of the whole text: its windows' probabilities, averaged by length.
 
-    A text that is null or has no letter, and any text where nothing could be learned, is ``und`` with score 0. Only
-    the text is looked at.
+    A text that is null, empty or without a letter, and any text where nothing could be learned, is ``und`` with score 0. Only
+    the text is looked at, all of it, however long. Repeated rows are judged alike; a table without rows gives none. Columns
+    of ``keep`` that are called like a result give way to it; ``names`` gives the results other names.
     """
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
-    rows = small_batches(docs).select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")]), letters.alias("__letters"))
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(_judged(net), schema)
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
+    text, letters = fresh([*keep, *names], "__text"), fresh([*keep, *names], "__letters")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None)
+    rows = small_batches(docs).select(*keep, F.col("text").alias(text), lettered.alias(letters))
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"])
+    return rows.mapInArrow(_judged(net, text, letters, keep, names), schema)
 
 
-def only_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those whose language cannot be told: ``und``, or a score below ``least``.
+def only_known(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """``docs`` without those whose language cannot be told: no letter (null and empty texts too), or a score below ``least``.
 
-    What is rejected is no language the labels know: no letters at all, or none of their probabilities above one half.
+    ``least`` is LEAST_SCORE, or twice the probability of chance where there are so many languages that this is less. Where
+    nothing could be learned, all documents stay. Columns keep their names and values, whatever they are called.
     """
-    judged = predict(docs, fit(docs), [c for c in docs.columns if c not in ("lang_pred", "score")])
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    net = fit(docs)
+    if net is None:
+        return docs
+    least = min(LEAST_SCORE, 2 / len(net.langs)) if least is None else least
+    lang, score = fresh(docs.columns, "__lang"), fresh(docs.columns, "__score")
+    judged = predict(docs, net, docs.columns, (lang, score))
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
