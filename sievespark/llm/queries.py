@@ -48,10 +48,12 @@ walk AS (
   SELECT r, n, j, floor((j + 1) * (2147483648::DOUBLE / ((n >> 33) + 1)::DOUBLE))::BIGINT
   FROM (SELECT r, (state * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS n, j FROM walk WHERE j < 25)),
 goal AS (SELECT r, max(CASE WHEN b < 24 THEN b END)::INTEGER AS shard, max(CASE WHEN b < 25 THEN b END)::INTEGER AS grown_shard FROM walk GROUP BY r)
-SELECT doc_id, (n + 8)::BIGINT AS size,
+SELECT doc_id, size, text_crc32, law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY (((k % 1024) + 1024) % 1024 + text_crc32 % 1024) % 1024, k, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+FROM (SELECT doc_id, k, (n + 8)::BIGINT AS size,
        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
-       'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ((k % 1024) + 1024) % 1024, k) - 1)::BIGINT AS slot, grown_shard
-FROM d JOIN goal USING (r), poly
+       'key' AS law, shard, grown_shard
+FROM d JOIN goal USING (r), poly)
 """
 
 ORACLES = {"op4_jump_sharding": _OP4, "op7_mix_sources": _OP7}
