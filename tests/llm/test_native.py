@@ -112,3 +112,36 @@ def test_mix_nothing(spark):
     odd = spark.createDataFrame([(None, None, None), (1, None, ""), (2, "a", None)], "doc_id long, source string, size long".replace("size long", "t string"))
     rows = odd.select("doc_id", "source", F.lit(None).cast("long").alias("size"))
     assert [r.taken for r in mixing.mix(rows).collect()] == [0, 0, 0]
+
+
+def test_slots_of_one_key(spark):
+    rows = [(None, f"t{k}") for k in range(500)] + [(7, "same")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{(r.doc_id, r.text, r.shard, r.slot) for r in sharding.shard(df.repartition(n), shards=3, buckets=16).collect()} for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 520
+    for s in range(3):
+        slots = sorted(slot for *_, own, slot in runs[0] if own == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_jump_of_many_shards(spark):
+    rng = random.Random(9)
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(500)]
+    for n in (1, 2, 40, 100_000):
+        for r in sharding.shard(spark.createDataFrame([(k,) for k in keys], "doc_id long"), shards=n).collect():
+            assert (r.shard, r.grown_shard) == (jump(r.doc_id, n), jump(r.doc_id, n + 1))
+
+
+def test_mix_documents_of_one_id(spark):
+    same = [(1, "a b c d e f g h", "x")] * 50
+    other = [(2, "a " * 10 + str(k), "x") for k in range(30)] + [(None, f"n {k} m", "y") for k in range(40)] + [(3, "z " * 50, "z"), (4, None, "z"), (5, "", None)]
+    docs = spark.createDataFrame(same + other, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix(docs.select("doc_id", "source", F.regexp_count("text", F.lit("[^ ]+")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("tie"))).collect()
+    out = mixing.mix_documents(docs).collect()
+    for s in ("x", "y", "z"):
+        assert sum(len(r.text.split()) for r in out if r.source == s and r.text) == sum(r.whole * r["size"] for r in plan if r.source == s)
+        budget = round(next(r.target for r in plan if r.source == s))
+        longest = max(r["size"] for r in plan if r.source == s)
+        assert budget <= sum(r.whole * r["size"] for r in plan if r.source == s) < budget + longest + 1
+    again = mixing.mix_documents(docs.repartition(5)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
