@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import fresh, small_batches
 from ._tokens import MEMORY, chunks, once
 
 #: SentencePiece's mark of a space, and what an unknown character scores below the worst piece.
@@ -133,14 +133,14 @@ class Pieces:
 _COLUMNS = "n_bytes long, n_pieces long, ids_crc32 long, score double, exact boolean, decoded_crc32 long"
 
 
-def _coded(model: str, carry: list[str], with_ids: bool):
+def _coded(model: str, carry: list[str], with_ids: bool, text_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = once(Pieces, model)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
         names = [*carry, *(c.split(" ")[0] for c in _COLUMNS.split(", ")), *["ids"] * with_ids]
         for batch in batches:
             at = 0
-            for some in chunks(t.as_py() or "" for t in batch.column("__text")):  # results leave as they come
+            for some in chunks(t.as_py() or "" for t in batch.column(text_name)):  # results leave as they come
                 rows, ids = [], []
                 for text, code in zip(some, coder.encode(some), strict=True):
                     raw, back = text.encode(), coder.decode(code)
@@ -161,11 +161,16 @@ def encode(docs: DataFrame, model: str, keep: list[str], with_ids: bool = False)
     unsigned 32-bit integers), score, exact (decoding the ids gives the text again), decoded_crc32, and the ids if asked.
 
     There is no shuffle. Decoding differs from the text only where that holds the mark of a space itself. The empty text
-    has no pieces and score 0.
+    has no pieces and score 0; texts may have any length; repeated rows are encoded each; a table without rows gives none.
+    Columns of ``keep`` that are called like a result give way to it. For a model of type BPE the ids are those of the
+    best-scoring segmentation, not those of the library's merges: a network trained with the latter needs the latter.
     """
-    rows = small_batches(docs).select(*keep, F.col("text").alias("__text"))
+    results = {c.split(" ")[0] for c in _COLUMNS.split(", ")} | ({"ids"} if with_ids else set())
+    keep = [c for c in keep if c.lower() not in results]
+    text = fresh(keep, "__text")
+    rows = small_batches(docs).select(*keep, F.col("text").alias(text))
     kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(_coded(model, keep, with_ids), ", ".join([*kept, _COLUMNS] + ["ids array<int>"] * with_ids))
+    return rows.mapInArrow(_coded(model, keep, with_ids, text), ", ".join([*kept, _COLUMNS] + ["ids array<int>"] * with_ids))
 
 
 def op8_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
