@@ -81,6 +81,10 @@ def member_name(doc_id: int | None) -> str:
     return f"n{0:020d}.png" if doc_id is None else f"d{doc_id:+020d}.png"
 
 
+#: Bytes of a directory record.
+RECORD = _entry.size + len(member_name(0))
+
+
 class _Archive:
     def __init__(self, fs, path: str):
         self.out, self.path, self.at, self.entries = fs.open_output_stream(path), path, 0, []
@@ -116,8 +120,9 @@ def _writer(folder: str):
         if now is not None:
             now.close()
             done.append(now)
-        names = [a.path.rpartition("/")[2] for a in done]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
+        rows = [(a.path.rpartition("/")[2], len(a.entries), a.at) for a in done]
+        names, counts, ends = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(ends, pa.int64())], names=["archive", "members", "directory"])
 
     return run
 
@@ -126,14 +131,22 @@ def write_archives(docs: DataFrame, folder: str) -> int:
     """Writes every text (null: empty) of (doc_id, text) as a member of archives in ``folder``; returns how many archives.
 
     Tasks stream members into archives of their own. The folder's list names only the archives of attempts that
-    counted; what a lost attempt left is never read. The driver sees one name an archive.
+    counted, with their members and where their directories begin; what a lost attempt left is never read. The driver sees
+    one such row an archive of some 256 MB, and no archive.
+
+    doc_id is of an integer type, else it is an error; null ids have a name of their own. Repeated rows are members of
+    their own; texts may be empty or of any length below an archive's 4 GB; a table without rows gives an empty list; other
+    columns are not read.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("doc_id has to be of an integer type")
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    names = sorted(r[0] for r in small_batches(docs).select("doc_id", "text").mapInArrow(_writer(folder), "archive string").collect())
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(_writer(folder), "archive string, members long, directory long")
+    found = sorted(tuple(r) for r in rows.collect())
     with fs.open_output_stream(f"{root}/archives.json") as f:
-        f.write(json.dumps(names).encode())
-    return len(names)
+        f.write(json.dumps(found).encode())
+    return len(found)
 
 
 @dataclass
@@ -148,7 +161,7 @@ class ByteRange(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    """Plans from the archives' last bytes alone; directories and members are read by the tasks."""
+    """Plans from the folder's list alone; directories and members are read by the tasks."""
 
     def __init__(self, options: dict):
         self.folder = options["path"].rstrip("/")
@@ -161,17 +174,12 @@ class ArchiveReader(DataSourceReader):
         """Stretches of whole directory records, each for about ``splitBytes`` of members."""
         fs, root = pyarrow.fs.FileSystem.from_uri(self.folder)
         with fs.open_input_stream(f"{root}/archives.json") as f:
-            names = json.loads(f.read())
+            listed = json.loads(f.read())
         found = []
-        for name in names:
-            with fs.open_input_file(f"{root}/{name}") as f:
-                tail = _end.unpack(f.read_at(_end.size, f.size() - _end.size))
-            count, table, at = tail[4], tail[5], tail[6]
-            if tail[0] != END or not count or table % count:
-                raise ValueError(f"{name}: no directory of equal records")
-            record, pieces = table // count, min(count, -(-at // self.split))
-            cuts = [at + record * (count * k // pieces) for k in range(pieces + 1)]
-            found += [ByteRange(name, a, b, record) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for name, count, at in listed:
+            pieces = min(count, max(1, -(-at // self.split)))
+            cuts = [at + RECORD * (count * k // pieces) for k in range(pieces + 1)]
+            found += [ByteRange(name, a, b, RECORD) for a, b in zip(cuts, cuts[1:], strict=False)]
         return found or [ByteRange("", 0, 0, 1)]
 
     def member(self, fs, path: str, entry: tuple, name: bytes) -> bytes:

@@ -47,13 +47,38 @@ def test_language(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     own = [(r.lang_pred, rows[r.doc_id][2]) for r in out if r.held_out and r.doc_id < 600 and rows[r.doc_id][2]]
     assert sum(a == b for a, b in own) >= 0.97 * len(own)
-    kept = language.only_known(docs.drop("score"))
-    assert kept.columns == ["doc_id", "text", "lang"] and 1002 not in {r.doc_id for r in kept.collect()}
+    kept = language.only_known(docs)
+    assert kept.columns == ["doc_id", "text", "lang", "score"] and kept.schema["score"].dataType.typeName() == "integer"
+    assert 1002 not in {r.doc_id for r in kept.collect()} and {r.score for r in kept.collect()} == {1}
+    clash = language.predict(docs.withColumn("__text", F.lit("x")), net, ["doc_id", "score", "__text"])
+    assert clash.columns == ["doc_id", "__text", "lang_pred", "score"] and clash.where("score > 1 OR __text <> 'x'").count() == 0
+
+
+def test_network_by_brute_force():
+    """Probabilities against a convolution of one-hot bytes, position by position."""
+    rng = np.random.default_rng(5)
+    taps = {w: rng.normal(size=(w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS}
+    width = language.FILTERS * len(language.WIDTHS)
+    net = language.Network(["a", "b", "c"], taps, rng.normal(size=width).astype(np.float32), rng.normal(size=(width, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    block = language.windows(bytes(rng.integers(0, 256, 900, dtype=np.uint8)))
+    for row, got in zip(block, net.probabilities(block), strict=True):
+        hot = np.eye(256)[row]
+        tops = [max((hot[k : k + w] * taps[w][:, :, f]).sum() for k in range(language.WINDOW - w + 1)) for w in language.WIDTHS for f in range(language.FILTERS)]
+        logits = np.maximum(np.array(tops) + net.bias, 0) @ net.out + net.out_bias
+        want = np.exp(logits - logits.max())
+        assert got == pytest.approx(want / want.sum(), abs=1e-4)
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(k, f"{chr(0x400 + k % 130)}a " * 20, f"l{k % 130:03d}") for k in range(400)]
+    net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50, per_doc=1)
+    assert net.langs == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) and len(net.langs) > 100
 
 
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "ka", None)], "doc_id long, text string, lang string")
     assert language.fit(docs) is None
+    assert language.only_known(docs).collect() == docs.collect()
     assert language.predict(docs, None, ["doc_id"]).collect()[0].lang_pred == "und"
     assert language.predict(docs.limit(0), None, ["doc_id"]).count() == 0
 
@@ -104,6 +129,13 @@ def test_neighbours_of_few(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (20, [1.0, 1.0]), (7, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(1, 5), (2, 7)]
+
+
 MEDIA = [(0, "abc"), (1, None), (2, ""), (3, "é" * 96), (4, "x" * 193), (5, "abc"), (-7, "trailing  "), (None, "no id"), (8, "l" * 300_000), (8, "l" * 300_000)]
 
 
@@ -134,6 +166,8 @@ def test_media(spark, monkeypatch):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
         stored = media.to_png(raw)
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload))
+    with pytest.raises(ValueError, match="integer"):
+        media.write_archives(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"), folder)
     empty = new_path(spark, "m")
     media.write_archives(docs.limit(0), empty)
     assert media.read_archives(spark, empty).count() == 0
@@ -162,7 +196,7 @@ def test_member_is_read_again(tmp_path, monkeypatch):
     for k in range(5):
         archive.add(media.member_name(k).encode(), b"data %d" % k)
     archive.close()
-    (tmp_path / "archives.json").write_text('["a.zip"]')
+    (tmp_path / "archives.json").write_text(f'[["a.zip", 5, {archive.at}]]')
     reader = media.ArchiveReader({"path": f"file://{tmp_path}", "retries": "2"})
     (part,) = reader.partitions()
     calls, real = [], media.ArchiveReader.member
