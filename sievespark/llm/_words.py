@@ -108,3 +108,28 @@ class Runs:
         """Of a run and another one right behind it, wherever the two stand."""
         with np.errstate(over="ignore"):
             return self.at(start, size) + self.at(then, more) * self.up[size]
+
+
+def whole(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text, in their order."""
+    words = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        place = mix((np.arange(len(hashes)) - np.repeat(offsets[:-1], words)).astype(np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + place), dtype=np.uint64)])
+        return mix(sums[offsets[1:]] - sums[offsets[:-1]] + words.astype(np.uint64))
+
+
+def shingles(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of texts, repeats included, and where each text's begin; fewer words are one shingle."""
+    words = np.diff(offsets)
+    counts = np.where(words >= 5, words - 4, (words > 0).astype(np.int64))
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    out = np.zeros(int(ends[-1]), np.uint64)
+    long, short = words >= 5, np.flatnonzero((words > 0) & (words < 5))
+    if long.any():
+        rows = np.repeat(np.arange(len(words)), words)
+        base = five(hashes)
+        inside = rows[: len(base)] == rows[4:]
+        out[np.repeat(long, counts)] = mix(base[inside])
+    out[ends[short]] = whole(hashes, offsets)[short]
+    return out, ends

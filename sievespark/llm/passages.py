@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import components, drop, small_batches, written
-from ._words import Runs, chunks, five, mix, powers
+from ._words import Runs, chunks, five, mix, powers, whole
 
 #: Words of a shingle and of a paragraph; the similarity of paragraphs.
 WORDS, LEAST, SIMILARITY = 5, 50, 0.8
@@ -98,9 +98,9 @@ def marks(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             key.append(mix(once + np.uint64(1000 + p)).min())
             size.append(stop - start)
         i = np.flatnonzero(change & (np.cumsum(inner)[:n] == 0))
-        whole = sum((base[i + k] * _steps[k] for k in range(WORDS, KEY - WORDS + 1, WORDS)), base[i])
+        words = sum((base[i + k] * _steps[k] for k in range(WORDS, KEY - WORDS + 1, WORDS)), base[i])
     row, at = np.concatenate([rows[i], np.array(row, np.int64)]), np.concatenate([i, np.array(at, np.int64)])
-    keys = np.concatenate([mix(whole + np.uint64(KEY)), np.array(key, np.uint64)]).view(np.int64)
+    keys = np.concatenate([mix(words + np.uint64(KEY)), np.array(key, np.uint64)]).view(np.int64)
     return row, at - offsets[row], keys, np.concatenate([np.zeros(len(i), np.int64), np.array(size, np.int64)])
 
 
@@ -119,12 +119,9 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[np.unique(mix(key.view(np.uint64) + mix(row.astype(np.uint64))), return_index=True)[1]] = True
             at = offsets[:-1][long]
             if len(at):
-                with np.errstate(over="ignore"):
-                    weight = mix((np.arange(len(hashes)) - np.repeat(offsets[:-1], words)).astype(np.uint64))
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + weight), dtype=np.uint64)])
-                    whole = mix(sums[offsets[1:][long]] - sums[at] + words[long].astype(np.uint64)).view(np.int64)
+                texts = whole(hashes, offsets)[long].view(np.int64)
                 row, place = np.concatenate([row, np.flatnonzero(long)]), np.concatenate([place, np.full(len(at), -1)])
-                key, first, size = np.concatenate([key, whole]), np.concatenate([first, np.zeros(len(at), bool)]), np.concatenate([size, words[long]])
+                key, first, size = np.concatenate([key, texts]), np.concatenate([first, np.zeros(len(at), bool)]), np.concatenate([size, words[long]])
             columns = [nodes[begin + row], key, place.astype(np.int32), first, size.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
