@@ -102,12 +102,62 @@ def multi_and_chain(words: DataFrame, filters: Iterable[str]) -> DataFrame:
     return out
 
 
+def request_classes(requests: DataFrame, filter_id: str = "filter_id") -> tuple[DataFrame, DataFrame]:
+    """Requests (query_id, filter_id) as classes (class_id, filter_id, wanted) and membership (query_id, class_id).
+
+    Requests for the same sets are one class, named by its least query, with ``wanted`` sets; repeated ones count once.
+    """
+    asked = requests.groupBy("query_id").agg(F.sort_array(F.collect_set(filter_id)).alias("wants"))
+    asked = asked.withColumn("signature", F.to_json("wants"))
+    classes = asked.groupBy("signature").agg(F.min("query_id").alias("class_id"), F.any_value("wants").alias("wants"))
+    members = asked.select("query_id", "signature").join(classes.select("signature", "class_id"), "signature").select("query_id", "class_id")
+    return classes.select("class_id", F.size("wants").alias("wanted"), F.explode("wants").alias(filter_id)), members
+
+
+def multi_and_classes(words: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Many requests (query_id, filter_id) at once: words (class_id, word_idx, word) of each different one, and
+    membership (query_id, class_id).
+
+    Each class is evaluated once, however many queries ask for it, in one join with its sets and one aggregation by word.
+    """
+    classes, members = request_classes(requests)
+    rows = words.join(classes, "filter_id").groupBy("class_id", "word_idx")
+    found = rows.agg(F.bit_and("word").alias("word"), F.count(F.lit(1)).alias("n"), F.any_value("wanted").alias("wanted"))
+    return found.where("n = wanted AND word <> 0").select("class_id", "word_idx", "word"), members
+
+
 def multi_and_grouped(words: DataFrame, requests: DataFrame) -> DataFrame:
-    """(query_id, word_idx, word) for many requests (query_id, filter_id) at once; repeated requests count once."""
-    asked = requests.distinct()
-    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    rows = words.join(asked, "filter_id").groupBy("query_id", "word_idx").agg(F.bit_and("word").alias("word"), F.count(F.lit(1)).alias("n"))
-    return rows.join(sizes, "query_id").where("n = wanted AND word <> 0").select("query_id", "word_idx", "word")
+    """(query_id, word_idx, word) of each request: the classes' words given out to their queries. ``multi_and_classes`` is less."""
+    found, members = multi_and_classes(words, requests)
+    return members.join(found, "class_id").select("query_id", "word_idx", "word")
+
+
+def named(filters: list[str], places: Iterable[int]) -> list[str]:
+    """The sets at ``places`` of a batch; a place that it has not is an error."""
+    places = list(places)
+    bad = [k for k in places if not 0 <= k < len(filters)]
+    if bad:
+        raise IndexError(f"no set at {bad} in a batch of {len(filters)}")
+    return [filters[k] for k in places]
+
+
+def known(catalog: DataFrame, filters: Iterable[str]) -> list[str]:
+    """The requested sets, each once, all of which the catalogue (filter_id, ...) has; any other one is an error.
+
+    Without this check a set that is not there is an empty one.
+    """
+    names = wanted(filters)
+    held = {r[0] for r in catalog.where(F.col("filter_id").isin(names)).select("filter_id").distinct().collect()}
+    missing = [n for n in names if n not in held]
+    if missing:
+        raise KeyError(f"unknown filters: {missing}")
+    return names
+
+
+def checked(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Requests (..., filter_id) with ``known``: whether the catalogue (filter_id, ...) has the set."""
+    held = catalog.select("filter_id").distinct().withColumn("known", F.lit(True))
+    return requests.join(held, "filter_id", "left").select(*requests.columns, F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def dense(spark, universe: int) -> DataFrame:

@@ -6,28 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bits import CONTAINER, WORD, bit_of, key_of, low_of
-from ..functions.policy import ARRAY, BITMAP, ENTRY_BYTES, KEEP, RUN, encoding, payload_bytes
+from ..functions.bits import CONTAINER, FULL, WORD, WORDS_PER_CONTAINER, bit_of, key_of, low_of
+from ..functions.policy import ALL, ARRAY, BITMAP, CACHE_BYTES, ENTRY_BYTES, KEEP, RUN, auto_threshold, encoding, payload_bytes, promotes
+from .ingest import to_words
 
 SCHEMA = "filter_id string, key int, ctype string, card int, n_runs int, arr array<int>, runs array<struct<start:int,length:int>>, words array<struct<pos:int,word:bigint>>"
 
 
+def _edges(words: DataFrame) -> DataFrame:
+    """Words with their container's ``key`` and the bits at which runs start (``first``) and end (``last``) within it.
+
+    A bit starts a run if the one below it is clear, which for the lowest is the neighbouring word's; windows run over
+    the words of one container, 2,048 at most.
+    """
+    key = F.floor(F.col("word_idx") / WORDS_PER_CONTAINER).cast("int")
+    order = Window.partitionBy("filter_id", "key").orderBy("word_idx")
+    beside = lambda f, step: F.when(f("word_idx").over(order) == F.col("word_idx") + step, f("word").over(order)).otherwise(F.lit(0).cast("long"))
+    word = F.col("word")
+    below = F.shiftleft(word, 1).bitwiseOR(F.shiftright(beside(F.lag, -1), WORD - 1)).bitwiseAND(FULL)
+    above = F.shiftright(word, 1).bitwiseOR(F.shiftleft(beside(F.lead, 1).bitwiseAND(1), WORD - 1))
+    rows = words.select("filter_id", "word_idx", "word", key.alias("key"))
+    return rows.withColumns({"first": word.bitwiseAND(below.bitwiseXOR(FULL)), "last": word.bitwiseAND(above.bitwiseXOR(FULL))})
+
+
 def runs(members: DataFrame) -> DataFrame:
     """(filter_id, key, start, length): maximal runs within containers; ``length`` is one less than the run's ids."""
-    rows = members.distinct().select("filter_id", key_of(F.col("id")).alias("key"), low_of(F.col("id")).alias("low"))
-    island = F.col("low") - F.row_number().over(Window.partitionBy("filter_id", "key").orderBy("low"))
-    found = rows.withColumn("island", island).groupBy("filter_id", "key", "island").agg(F.min("low").alias("start"), F.count(F.lit(1)).alias("n"))
-    return found.select("filter_id", "key", "start", (F.col("n") - 1).cast("int").alias("length"))
+    return word_runs(to_words(members))
+
+
+def word_runs(words: DataFrame) -> DataFrame:
+    """The same of words: the k-th start of a container belongs to its k-th end."""
+    earlier = Window.partitionBy("filter_id", "key").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _edges(words)
+    for side in ("first", "last"):
+        rows = rows.withColumn(f"n_{side}", F.coalesce(F.sum(F.bit_count(side)).over(earlier), F.lit(0)))
+    base = F.col("word_idx").bitwiseAND(WORDS_PER_CONTAINER - 1) * WORD
+    places = lambda c: F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("getbit", F.col(c), b) == 1)
+    parts = [rows.where(F.col(c) != 0).select("filter_id", "key", F.col(f"n_{c}").alias("before"), base.alias("base"), F.posexplode(places(c)).alias("k", "bit"), F.lit(c).alias("side")) for c in ("first", "last")]
+    edges = parts[0].unionByName(parts[1]).select("filter_id", "key", (F.col("before") + F.col("k")).alias("k"), (F.col("base") + F.col("bit")).cast("int").alias("low"), "side")
+    found = edges.groupBy("filter_id", "key", "k").agg(F.max(F.when(F.col("side") == "first", F.col("low"))).alias("start"), F.max(F.when(F.col("side") == "last", F.col("low"))).alias("stop"))
+    return found.select("filter_id", "key", "start", (F.col("stop") - F.col("start")).alias("length"))
 
 
 def sizes(members: DataFrame) -> DataFrame:
-    """(filter_id, key, card, n_runs): a full container has 65,536 ids and one run."""
-    found = runs(members).groupBy("filter_id", "key")
-    return found.agg(F.sum(F.col("length") + 1).cast("int").alias("card"), F.count(F.lit(1)).cast("int").alias("n_runs"))
+    """(filter_id, key, card, n_runs): a full container has 65,536 ids and one run. Ids are packed before they are shuffled."""
+    found = _edges(to_words(members)).groupBy("filter_id", "key")
+    return found.agg(F.sum(F.bit_count("word")).cast("int").alias("card"), F.sum(F.bit_count("first")).cast("int").alias("n_runs"))
 
 
 def build(members: DataFrame, threshold: int = KEEP, with_runs: bool | None = None) -> DataFrame:
     """Containers with their payload. A container is at most 65,536 ids, so a payload is bounded whatever the set."""
+    if threshold < 0:
+        raise ValueError("an automatic threshold has to be resolved for a universe: build_auto, promote_auto")
     found = runs(members)
     each = found.groupBy("filter_id", "key").agg(
         F.sum(F.col("length") + 1).cast("int").alias("card"), F.count(F.lit(1)).cast("int").alias("n_runs"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")
@@ -51,12 +81,31 @@ def members(containers: DataFrame) -> DataFrame:
 
 def promote(containers: DataFrame, threshold: int = 0) -> DataFrame:
     """Re-encodes: containers of more ids than ``threshold`` become bitmaps, the others stay. The sets stay the same."""
+    if threshold < 0:
+        raise ValueError("an automatic threshold has to be resolved for a universe: build_auto, promote_auto")
     low = containers.where((F.col("ctype") != BITMAP) & (F.col("card") > threshold))
     bitmaps = build(members(low), threshold, with_runs=False)
     kept = containers.where((F.col("ctype") == BITMAP) | (F.col("card") <= threshold))
     return kept.unionByName(bitmaps)
 
 
+def promote_auto(containers: DataFrame, universe: int, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Re-encodes at the threshold that suits the universe: all containers become bitmaps where a flat bitset would not stay in the
+    cache, and none do where it would."""
+    return containers if auto_threshold(universe, cache_bytes) == KEEP else promote(containers, ALL)
+
+
+def build_auto(members: DataFrame, universe: int, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Containers at the threshold that suits the universe. A set whose bitmaps would take half of the flat bitset or more is not
+    promoted all the same: that would give up its compression."""
+    held = build(members)
+    if auto_threshold(universe, cache_bytes) == KEEP:
+        return held
+    counts = held.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n"))
+    small = counts.where(promotes(F.col("n"), F.lit(universe).cast("long"))).select("filter_id")
+    return held.join(small, "filter_id", "left_anti").unionByName(promote(held.join(small, "filter_id", "left_semi"), ALL))
+
+
 def meta(containers: DataFrame) -> DataFrame:
     """One row a set: containers of each kind, ids, and bytes of the compressed form."""
     kind = lambda k: F.count_if(F.col("ctype") == k).alias(f"n_{k.lower()}")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bits import CONTAINER, FULL, WORD, key_of, mask_of, popcount
-from .algebra import dense
+from ..functions.bits import CONTAINER, FULL, WORD, key_of, mask_of, popcount, words_in
+from .ingest import to_words
 
 
 def enumerate_ids(words: DataFrame) -> DataFrame:
@@ -28,29 +28,45 @@ def indptr(words: DataFrame) -> DataFrame:
 
 
 def csr(members: DataFrame) -> DataFrame:
-    """(filter_id, ids, start, stop): each set's ids in order, and its place in all sets' ids laid end to end by filter_id."""
-    lists = members.distinct().groupBy("filter_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    upto = Window.orderBy("filter_id").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(F.size("ids").cast("long")).over(upto)
-    return lists.withColumn("stop", stop).select("filter_id", "ids", (F.col("stop") - F.size("ids")).alias("start"), "stop")
+    """(filter_id, key, ids, start, stop): each container's ids in order, and their place in all sets' ids laid end to end by filter_id.
+
+    A list is at most 65,536 ids, whatever the set. Where sets begin is a running sum over one count a set.
+    """
+    ranges = indptr(to_words(members))
+    sets = ranges.groupBy("filter_id").agg(F.sum("card").alias("n"))
+    earlier = Window.orderBy("filter_id").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sets.select("filter_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    lists = members.groupBy("filter_id", key_of(F.col("id")).alias("key")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    begin = F.col("base") + F.col("start")
+    return lists.join(ranges, ["filter_id", "key"]).join(bases, "filter_id").select("filter_id", "key", "ids", begin.alias("start"), (begin + F.col("card")).alias("stop"))
 
 
 def decompress(words: DataFrame, universe: int, negated: bool = False, limit: int | None = None) -> DataFrame:
-    """(word_idx, word) of every word of the universe, or of the first ``limit``: zeros included, bits beyond it clear."""
-    n = universe if limit is None else min(universe, limit * WORD)
-    every = dense(words.sparkSession, n).join(words.select("word_idx", "word"), "word_idx", "left")
+    """(word_idx, word) of every word of the universe, zeros included, bits beyond it clear; or of a buffer of ``limit`` words.
+
+    A buffer is filled whole: words beyond the universe are 0, and those of the set beyond the buffer are not written.
+    """
+    n = words_in(universe) if limit is None else limit
+    every = words.sparkSession.range(n).select(F.col("id").alias("word_idx")).join(words.select("word_idx", "word"), "word_idx", "left")
     word = F.coalesce("word", F.lit(0).cast("long"))
     word = word.bitwiseXOR(FULL) if negated else word
     return every.select("word_idx", word.bitwiseAND(mask_of(F.col("word_idx"), F.lit(universe).cast("long"))).alias("word"))
 
 
+#: Pairs of words of a stretch that is generated at once.
+STRETCH = 65536
+
+
 def decompress_batch(words: DataFrame, universes: DataFrame) -> DataFrame:
     """(filter_id, pair_idx, low, high): dense 64-bit words of several sets as two halves; ``universes`` (filter_id, universe).
 
-    A set's range of words is generated from its own universe, so no set is paired with another's words.
+    A set's range of words is generated from its own universe, stretch by stretch, so that no row holds more than one, and no
+    set is paired with another's words.
     """
-    last = F.floor((F.col("universe") + 63) / 64) - 1
-    every = universes.where("universe > 0").select("filter_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pair_idx"))
+    pairs, step = F.floor((F.col("universe") + 63) / 64), F.lit(STRETCH).cast("long")
+    begins = universes.where("universe > 0").select("filter_id", pairs.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), pairs - 1, step)).alias("begin"))
+    begins = begins.repartition("filter_id", "begin")
+    every = begins.select("filter_id", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + STRETCH, F.col("n")) - 1)).alias("pair_idx"))
     halves = words.groupBy("filter_id", F.shiftright("word_idx", 1).alias("pair_idx")).agg(
         *[F.coalesce(F.max(F.when(F.col("word_idx").bitwiseAND(1) == k, F.col("word"))), F.lit(0)).cast("long").alias(c) for k, c in enumerate(("low", "high"))]
     )

@@ -38,7 +38,7 @@ def wide_words(df: DataFrame, id_: Column, predicates: dict[str, Column]) -> Dat
 
 def catalog(members: DataFrame, universe: int) -> DataFrame:
     """One row a set: universe, cardinality, whether it is stored as its complement, and how many ids that stores."""
-    counts = members.distinct().groupBy("filter_id").agg(F.count(F.lit(1)).alias("cardinality")).withColumn("universe", F.lit(universe).cast("long"))
+    counts = to_words(members).groupBy("filter_id").agg(F.sum(popcount(F.col("word"))).alias("cardinality")).withColumn("universe", F.lit(universe).cast("long"))
     negated = is_dense(F.col("cardinality"), F.col("universe"))
     stored = F.when(negated, F.col("universe") - F.col("cardinality")).otherwise(F.col("cardinality"))
     return counts.select("filter_id", "universe", negated.alias("negated"), "cardinality", stored.alias("stored"))

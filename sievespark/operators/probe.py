@@ -42,3 +42,9 @@ def mismatches(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """How many probes two methods answer differently."""
     both = a.select(*on, F.col("hit").alias("x")).join(b.select(*on, F.col("hit").alias("y")), on, "full")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("mismatches"))
+
+
+def answers(by_words: DataFrame, by_containers: DataFrame, on: list[str]) -> DataFrame:
+    """Both methods' answers to each probe, and whether they differ."""
+    both = by_words.select(*on, F.col("hit").alias("by_words")).join(by_containers.select(*on, F.col("hit").alias("by_containers")), on, "full")
+    return both.withColumn("differs", ~F.col("by_words").eqNullSafe(F.col("by_containers")))

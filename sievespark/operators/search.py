@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.bits import has, word_of
+from .algebra import request_classes
+
 #: Rows that meet in one block of queries and one of vectors.
-BLOCK_QUERIES, BLOCK_VECTORS = 256, 65536
+BLOCK_QUERIES, BLOCK_VECTORS = 4096, 4096
 
 
 def squared(a: str, b: str) -> Column:
@@ -21,25 +24,49 @@ def top(rows: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     return rows.withColumn(rank, at).where(F.col(rank) <= k)
 
 
+def _blocks(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _in_blocks(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> DataFrame:
+    """(query_id, rank, id, dist) over queries (query_id, embedding) and vectors (id, embedding) that agree in ``on``.
+
+    Each block of vectors meets each block of queries once, in a join by both and ``on``, so no task holds more than
+    a block of each of one value, however many rows have it; top-k is taken in each block first, and a query's shuffled
+    candidates are k a block.
+    """
+    n, m = (max(1, -(-rows.count() // size)) for rows, size in ((vectors, BLOCK_VECTORS), (queries, BLOCK_QUERIES)))
+    held = vectors.where("embedding IS NOT NULL").select("id", *on, "embedding", _blocks("id", n).alias("i"), _every(m).alias("j"))
+    asked = queries.where("embedding IS NOT NULL").select("query_id", *on, F.col("embedding").alias("q"), _every(n).alias("i"), _blocks("query_id", m).alias("j"))
+    pairs = held.join(asked, [*on, "i", "j"]).where("id <> query_id").select("query_id", "i", "id", squared("q", "embedding").alias("dist"))
+    first = F.row_number().over(Window.partitionBy("query_id", "i").orderBy("dist", "id"))
+    return top(pairs.withColumn("r", first).where(F.col("r") <= k).select("query_id", "id", "dist"), k).select("query_id", "rank", "id", "dist")
+
+
 def search_within(queries: DataFrame, vectors: DataFrame, on: str, k: int) -> DataFrame:
-    """(query_id, rank, id, dist): nearest vectors that share the query's value of ``on``; an equi-join on the filter."""
-    pairs = queries.select("query_id", on, F.col("embedding").alias("q")).join(vectors.select("id", on, "embedding"), on).where("id <> query_id")
-    near = pairs.where("q IS NOT NULL AND embedding IS NOT NULL").select("query_id", "id", squared("q", "embedding").alias("dist"))
-    return top(near, k).select("query_id", "rank", "id", "dist")
+    """(query_id, rank, id, dist): nearest vectors that share the query's value of ``on``; an equi-join on the filter, in blocks."""
+    return _in_blocks(queries, vectors, [on], k)
 
 
 def search_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, dist): nearest of all vectors, in blocks: each block of vectors meets each block of queries once.
+    """(query_id, rank, id, dist): nearest of all vectors, in blocks."""
+    return _in_blocks(queries, vectors, [], k)
+
 
-    Queries are copied to every block of vectors and not the other way round; top-k is taken in each block first, so a
-    query's shuffled candidates are k a block.
+def search_filtered(queries: DataFrame, vectors: DataFrame, allowed: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, dist): nearest of the vectors that are in the query's computed set.
+
+    ``allowed`` (class_id, word_idx, word) holds the sets' words and ``members`` (query_id, class_id) says whose they are, as
+    ``multi_and_classes`` gives them. Vectors are filtered before the search: each class takes its vectors once, by word
+    and bit, and its queries meet just those. A query without a set, or with an empty one, has no neighbour.
     """
-    n = max(1, -(-vectors.count() // BLOCK_VECTORS))
-    held = vectors.where("embedding IS NOT NULL").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    pairs = held.join(asked, "block").where("id <> query_id").select("query_id", "block", "id", squared("q", "embedding").alias("dist"))
-    first = F.row_number().over(Window.partitionBy("query_id", "block").orderBy("dist", "id"))
-    return top(pairs.withColumn("r", first).where(F.col("r") <= k).select("query_id", "id", "dist"), k).select("query_id", "rank", "id", "dist")
+    rows = vectors.withColumn("word_idx", word_of(F.col("id"))).join(allowed, "word_idx").where(has(F.col("word"), F.col("id")))
+    asked = queries.join(members, "query_id").select("query_id", "class_id", "embedding")
+    return _in_blocks(asked, rows.select("class_id", "id", "embedding"), ["class_id"], k)
 
 
 def search_after(queries: DataFrame, vectors: DataFrame, passing: DataFrame, k: int, factor: int) -> DataFrame:
@@ -60,12 +87,14 @@ def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("queries"), (F.sum(F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)) / F.count(F.lit(1))).alias("recall"))
 
 
-def division(requests: DataFrame, tags: DataFrame) -> DataFrame:
-    """(query_id, id) of the ids that have all of a query's tags: requests (query_id, tag_id), tags (tag_id, id)."""
-    asked = requests.distinct()
-    wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    rows = tags.distinct().join(asked, "tag_id").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(wanted, "query_id").where("n = wanted").select("query_id", "id")
+def division(requests: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids that have all of a query's tags: rows (class_id, id) and membership (query_id, class_id).
+
+    ``requests`` (query_id, tag_id), ``tags`` (tag_id, id). Queries that ask for the same tags are one class and are answered once.
+    """
+    classes, members = request_classes(requests, "tag_id")
+    rows = tags.distinct().join(classes, "tag_id").groupBy("class_id", "id").agg(F.count(F.lit(1)).alias("n"), F.any_value("wanted").alias("wanted"))
+    return rows.where("n = wanted").select("class_id", "id"), members
 
 
 def selectivity_bins(requests: DataFrame, tag_sizes: DataFrame, total: Column, bins: list[tuple[str, float, float]]) -> DataFrame:
@@ -87,15 +116,28 @@ def _front(curves: DataFrame, by: list[str]) -> DataFrame:
     return front.select(*by, "recall", "qps", F.lead("recall").over(pairs).alias("recall2"), F.lead("qps").over(pairs).alias("qps2"))
 
 
-def qps_at(curves: DataFrame, by: list[str], recall_: float, slack: float = 0.01) -> DataFrame:
-    """QPS at a recall on each front: between neighbours by the logarithm of qps; at an end less than ``slack`` away; else null."""
-    share = (F.lit(recall_) - F.col("recall")) / (F.col("recall2") - F.col("recall"))
-    between = F.when((F.col("recall") <= recall_) & (F.col("recall2") >= recall_), F.when(F.col("recall2") == F.col("recall"), F.greatest("qps", "qps2")).otherwise(F.exp(F.log("qps") + share * (F.log("qps2") - F.log("qps")))))
-    out = _front(curves, by).groupBy(*by).agg(
+def qps_table(curves: DataFrame, by: list[str], recalls: list[float], slack: float = 0.01) -> DataFrame:
+    """(*by, target, qps) at several recalls on each front: between neighbours by the logarithm of qps; at an end less than
+    ``slack`` away; else null."""
+    goal = F.col("target")
+    rows = _front(curves, by).withColumn("target", F.explode(F.array(*[F.lit(float(r)) for r in recalls])))
+    share = (goal - F.col("recall")) / (F.col("recall2") - F.col("recall"))
+    between = F.when((F.col("recall") <= goal) & (F.col("recall2") >= goal), F.when(F.col("recall2") == F.col("recall"), F.greatest("qps", "qps2")).otherwise(F.exp(F.log("qps") + share * (F.log("qps2") - F.log("qps")))))
+    out = rows.groupBy(*by, "target").agg(
         F.max(between).alias("inner"), F.min("recall").alias("low"), F.max("recall").alias("high"), F.max_by("qps", "recall").alias("at_high"), F.min_by("qps", "recall").alias("at_low")
     )
-    edge = F.when(F.abs(F.col("high") - recall_) < slack, F.col("at_high")).when(F.abs(F.col("low") - recall_) < slack, F.col("at_low"))
-    return out.select(*by, F.coalesce("inner", edge).alias("qps"))
+    edge = F.when(F.abs(F.col("high") - goal) < slack, F.col("at_high")).when(F.abs(F.col("low") - goal) < slack, F.col("at_low"))
+    return out.select(*by, "target", F.coalesce("inner", edge).alias("qps"))
+
+
+def qps_at(curves: DataFrame, by: list[str], recall_: float, slack: float = 0.01) -> DataFrame:
+    """``qps_table`` of one recall."""
+    return qps_table(curves, by, [recall_], slack).drop("target")
+
+
+def side_by_side(curves: DataFrame, systems: list[str], recall_: float) -> DataFrame:
+    """(bin, a column of QPS at the recall for each of ``systems``) of curves (system, bin, recall, qps)."""
+    return qps_at(curves.where(F.col("system").isin(systems)), ["system", "bin"], recall_).groupBy("bin").pivot("system", systems).agg(F.max("qps"))
 
 
 def recall_at(curves: DataFrame, by: list[str], qps_: float) -> DataFrame:

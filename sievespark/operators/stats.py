@@ -13,13 +13,12 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     values, which combine before the shuffle.
     """
     v = F.col(value)
-    n = F.count(value)
-    rows = df.where(v.isNotNull()).groupBy(*by).agg(
-        n.alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.stddev_samp(v).alias("std_sample"), F.min(v).alias("least"), F.max(v).alias("most"), F.median(v).alias("median"),
-        F.sort_array(F.collect_list(v)).alias("sorted"),
+    # just above the share: the next value in order where n * share is whole
+    at = lambda share, name: F.expr(f"percentile_disc({share} + 1e-12D) WITHIN GROUP (ORDER BY `{value}`)").alias(name)
+    return df.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(value).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.stddev_samp(v).alias("std_sample"), F.min(v).alias("least"), F.max(v).alias("most"),
+        F.median(v).alias("median"), at("0.5D", "upper_median"), at("0.05D", "p5"), at("0.95D", "p95"),
     )
-    at = lambda share: F.element_at("sorted", F.least(F.floor(F.col("n") * share).cast("int") + 1, F.size("sorted")))
-    return rows.select(*by, "n", "mean", "std", "std_sample", "least", "most", "median", at(0.5).alias("upper_median"), at(0.05).alias("p5"), at(0.95).alias("p95"))
 
 
 def erfc(x: Column) -> Column:
@@ -72,14 +71,23 @@ def classed(v: Column, classes: list[tuple[str, float, float]]) -> Column:
 
 
 def density_report(tags: DataFrame, universe: int) -> DataFrame:
-    """(bucket, n_tags, bytes, flat_bytes, compression) of tags (n_containers, n_bitmap, cardinality) by density."""
+    """(bucket, n_tags, bytes, flat_bytes, compression, avg_seconds) of tags (n_containers, n_bitmap, cardinality, seconds) by density;
+    ``seconds`` is what building the tag took."""
     bucket = classed(F.col("cardinality") / universe, DENSITIES)
     size = F.col("n_bitmap") * 8192 + F.col("n_containers") * 9
     flat = -(-universe // 32) * 4
-    rows = tags.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_tags"), F.sum(size).cast("long").alias("bytes"), (F.count(F.lit(1)) * flat).alias("flat_bytes"))
+    rows = tags.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_tags"), F.sum(size).cast("long").alias("bytes"), (F.count(F.lit(1)) * flat).alias("flat_bytes"), F.avg("seconds").alias("avg_seconds"))
     return rows.withColumn("compression", F.col("flat_bytes") / F.greatest("bytes", F.lit(1)))
 
 
+def build_report(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, builds, avg_seconds, most_seconds, index_bytes, flat_bytes, compression) of builds (seconds, index_bytes, flat_bytes)."""
+    rows = runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("builds"), F.avg("seconds").alias("avg_seconds"), F.max("seconds").alias("most_seconds"), F.sum("index_bytes").alias("index_bytes"), F.sum("flat_bytes").alias("flat_bytes")
+    )
+    return rows.withColumn("compression", F.col("flat_bytes") / F.when(F.col("index_bytes") > 0, F.col("index_bytes")))
+
+
 def zipf_densities(spark, n: int, alpha: float, high: float = 0.80, low: float = 0.0001) -> DataFrame:
     """(rank, density): weights rank**-alpha, stretched so that the first has ``high`` and the last ``low``."""
     last = float(n) ** -alpha

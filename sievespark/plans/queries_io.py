@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import containers, ingest, search
-from ..sources import binary, portable
+from ..sources import binary, portable, results
 from ..sources.storage import new_folder
 from ..streaming.words import drained, stream_words
 from .catalogue import query
@@ -57,9 +57,24 @@ def stream_of_events(spark, d):
     return drained(stream_words(stream, F.col("event_id"), {n: F.expr(p) for n, p in EVENTS.items()}))
 
 
-@query("stream_matches_batch", "SELECT 0::BIGINT AS differences")
+@query("stream_matches_batch", f"WITH {events_sql()}, {WORDS} SELECT filter_id, word_idx, word AS by_batch, word AS by_stream FROM w")
 def stream_matches_batch(spark, d):
-    batch = ingest.to_words(event_members(spark, d))
-    streamed = stream_of_events(spark, d)
-    both = batch.withColumnRenamed("word", "x").join(streamed.withColumnRenamed("word", "y"), ["filter_id", "word_idx"], "full")
-    return both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differences"))
+    batch = ingest.to_words(event_members(spark, d)).withColumnRenamed("word", "by_batch")
+    return batch.join(stream_of_events(spark, d).withColumnRenamed("word", "by_stream"), ["filter_id", "word_idx"], "full")
+
+
+_RESULTS = "SELECT c_custkey AS run, c_mktsegment AS system, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS qps, CASE WHEN c_custkey % 5 = 0 THEN 'a, \"b\"' ELSE c_name END AS note FROM customer"
+
+
+def _results(spark, d):
+    note = F.when(F.col("c_custkey") % 5 == 0, F.lit('a, "b"')).otherwise(F.col("c_name"))
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("run"), F.col("c_mktsegment").alias("system"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("qps"), note.alias("note"))
+
+
+for _kind in results.FORMATS:
+
+    @query(f"source_results_{_kind}", _RESULTS)
+    def source_results(spark, d, kind=_kind):
+        rows = _results(spark, d)
+        return results.read_results(spark, results.write_results(rows, new_folder(spark, "results"), kind), rows._jdf.schema().toDDL(), kind)

@@ -125,6 +125,22 @@ def auto_threshold_table(spark, d):
     return rows.select("universe", "cache_bytes", threshold.alias("threshold"), policy.promotes(F.floor(F.col("universe") / 65536), F.col("universe")).alias("promotes"))
 
 
+@query("promote_auto_meta", f"WITH {events_sql()}, {RUNS}, {SIZES}, g AS (SELECT unnest([1000, 1000000]) AS cache_bytes), {EVENT_U}, p AS (SELECT filter_id, cache_bytes, card, n_runs, CASE WHEN u > 0 AND (u + 7) // 8 * 2 > cache_bytes THEN 'BITMAP' ELSE ctype END AS ctype FROM c, g, u) SELECT cache_bytes::INTEGER AS cache_bytes, filter_id, {_META} FROM p GROUP BY ALL")
+def promote_auto_meta(spark, d):
+    """Bitmaps where a flat bitset would outgrow the cache, the format's own encodings where it would not."""
+    held, universe = containers.build(event_members(spark, d)), event_universe(spark, d)
+    parts = [containers.meta(containers.promote_auto(held, universe, cache)).withColumn("cache_bytes", F.lit(cache)) for cache in (1000, 1000000)]
+    return parts[0].unionByName(parts[1]).select("cache_bytes", *parts[0].columns[:-1])
+
+
+@query("build_auto_meta", f"WITH {events_sql()}, {RUNS}, {SIZES}, g AS (SELECT unnest([131072, 10000000]::BIGINT[]) AS u), n AS (SELECT filter_id, count(*) AS n FROM c GROUP BY 1), p AS (SELECT filter_id, u, card, n_runs, CASE WHEN (u + 7) // 8 * 2 > 1000 AND n * 16384 < (u + 7) // 8 THEN 'BITMAP' ELSE ctype END AS ctype FROM c JOIN n USING (filter_id), g) SELECT u AS universe, filter_id, {_META} FROM p GROUP BY ALL")
+def build_auto_meta(spark, d):
+    """The guard: in the smaller universe bitmaps would take as much as the flat bitset."""
+    rows = event_members(spark, d)
+    parts = [containers.meta(containers.build_auto(rows, u, 1000)).withColumn("universe", F.lit(u).cast("long")) for u in (131072, 10000000)]
+    return parts[0].unionByName(parts[1]).select("universe", *parts[0].columns[:-1])
+
+
 # -- pairs of sets
 
 

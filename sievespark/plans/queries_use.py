@@ -62,11 +62,12 @@ def hit_rate(spark, d):
     return probe.hits(contains_batch(spark, d))
 
 
-@query("method_mismatches", "SELECT count(*) * 3 AS n, 0::BIGINT AS mismatches FROM events")
+@query("method_mismatches", f"WITH {events_sql('click', 'early', 'other')}, a AS (SELECT f AS filter_id, e.event_id AS id, EXISTS (SELECT 1 FROM m WHERE m.filter_id = f AND m.id = e.event_id) AS hit FROM events e, (SELECT unnest(['click', 'early', 'other']) AS f)) SELECT filter_id, id, hit AS by_words, hit AS by_containers, false AS differs FROM a")
 def method_mismatches(spark, d):
+    """Both answers to each probe: the words' and the containers'."""
     rows = event_members(spark, d, "click", "early", "other")
     asked = table(spark, d, "events").select(F.explode(F.expr("array('click', 'early', 'other')")).alias("filter_id"), F.col("event_id").alias("id"))
-    return probe.mismatches(probe.contains_each(asked, ingest.to_words(rows)), contains_containers(spark, d), ["filter_id", "id"])
+    return probe.answers(probe.contains_each(asked, ingest.to_words(rows)), contains_containers(spark, d), ["filter_id", "id"])
 
 
 # -- exports
@@ -87,10 +88,10 @@ def enumerate_indptr(spark, d):
     return export.indptr(line_words(spark, d))
 
 
-@query("csr_lists", f"WITH {TAGS}, l AS (SELECT tag_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS n FROM t GROUP BY 1) SELECT tag_id::VARCHAR AS filter_id, ids, (sum(n) OVER (ORDER BY tag_id::VARCHAR) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY tag_id::VARCHAR))::BIGINT AS stop FROM l")
+@query("csr_lists", f"WITH {TAGS}, l AS (SELECT tag_id::VARCHAR AS filter_id, (id >> 16)::INTEGER AS key, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS n FROM t GROUP BY ALL) SELECT filter_id, key, ids, (sum(n) OVER o - n)::BIGINT AS start, (sum(n) OVER o)::BIGINT AS stop FROM l WINDOW o AS (ORDER BY filter_id, key)")
 def csr_lists(spark, d):
     lists = export.csr(part_tags(spark, d).select(F.col("tag_id").cast("string").alias("filter_id"), "id"))
-    return lists.select("filter_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "start", "stop")
+    return lists.select("filter_id", "key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "start", "stop")
 
 
 @query("decompress_dense", f"WITH {lines_sql('R')}, {WORDS}, {LINE_U}, g AS (SELECT unnest(range((u + 31) // 32)) AS word_idx FROM u) SELECT g.word_idx, coalesce(word, 0) AS word FROM g LEFT JOIN w USING (word_idx)")
@@ -134,16 +135,31 @@ def bit_functions(spark, d):
 # -- tags and queries
 
 
-@query("tag_query_ids", f"WITH {TAGS}, {REQUESTS}, n AS (SELECT query_id, count(DISTINCT tag_id) AS wanted FROM q GROUP BY 1) SELECT query_id, id FROM (SELECT DISTINCT * FROM q) q JOIN t USING (tag_id) JOIN n USING (query_id) GROUP BY query_id, id HAVING count(*) = any_value(wanted)")
+_CLASSES = "s AS (SELECT query_id, string_agg(tag_id::VARCHAR, ',' ORDER BY tag_id) AS wants, count(*) AS wanted FROM (SELECT DISTINCT * FROM q) GROUP BY 1), k AS (SELECT query_id, min(query_id) OVER (PARTITION BY wants) AS class_id, wanted FROM s)"
+
+
+@query("tag_query_ids", f"WITH {TAGS}, {REQUESTS}, {_CLASSES} SELECT class_id, id FROM (SELECT DISTINCT * FROM q) q JOIN t USING (tag_id) JOIN k ON k.class_id = q.query_id AND k.query_id = k.class_id GROUP BY class_id, id HAVING count(*) = any_value(wanted)")
 def tag_query_ids(spark, d):
-    return search.division(tag_requests(spark, d), part_tags(spark, d))
+    """The ids of each different request; ``tag_query_members`` says which queries ask for it."""
+    return search.division(tag_requests(spark, d), part_tags(spark, d))[0]
+
 
+@query("tag_query_members", f"WITH {REQUESTS}, {_CLASSES} SELECT query_id, class_id FROM k")
+def tag_query_members(spark, d):
+    return search.division(tag_requests(spark, d), part_tags(spark, d))[1]
 
-@query("multi_and_grouped", f"WITH {TAGS}, {REQUESTS}, n AS (SELECT query_id, count(DISTINCT tag_id) AS wanted FROM q GROUP BY 1), i AS (SELECT query_id, id FROM q JOIN t USING (tag_id) JOIN n USING (query_id) GROUP BY query_id, id HAVING count(*) = any_value(wanted)) SELECT query_id, count(*) AS cardinality FROM i GROUP BY 1")
+
+@query("multi_and_grouped", f"WITH {TAGS}, {REQUESTS}, {_CLASSES}, i AS (SELECT class_id, count(*) AS cardinality FROM (SELECT class_id, id FROM (SELECT DISTINCT * FROM q) q JOIN t USING (tag_id) JOIN k ON k.class_id = q.query_id AND k.query_id = k.class_id GROUP BY class_id, id HAVING count(*) = any_value(wanted)) GROUP BY 1) SELECT k.query_id, cardinality FROM k JOIN i USING (class_id)")
 def multi_and_grouped(spark, d):
     words = ingest.to_words(part_tags(spark, d).select(F.col("tag_id").cast("string").alias("filter_id"), "id"))
-    found = algebra.multi_and_grouped(words, tag_requests(spark, d).select("query_id", F.col("tag_id").cast("string").alias("filter_id")))
-    return found.groupBy("query_id").agg(F.sum(F.bit_count("word")).cast("long").alias("cardinality"))
+    found, members = algebra.multi_and_classes(words, tag_requests(spark, d).select("query_id", F.col("tag_id").cast("string").alias("filter_id")))
+    return members.join(found.groupBy("class_id").agg(F.sum(F.bit_count("word")).cast("long").alias("cardinality")), "class_id").select("query_id", "cardinality")
+
+
+@query("known_filters", f"WITH {REQUESTS}, {TAGS} SELECT DISTINCT tag_id::VARCHAR AS filter_id, tag_id IN (SELECT tag_id FROM t) AS known FROM q")
+def known_filters(spark, d):
+    catalog = part_tags(spark, d).select(F.col("tag_id").cast("string").alias("filter_id"))
+    return algebra.checked(tag_requests(spark, d).select(F.col("tag_id").cast("string").alias("filter_id")).distinct(), catalog)
 
 
 @query("tag_lists", f"WITH {TAGS} SELECT id, string_agg(tag_id::VARCHAR, ',' ORDER BY tag_id) AS tags FROM t GROUP BY 1")
@@ -175,9 +191,11 @@ def predicates_histogram(spark, d):
 _BUCKETS = "CASE WHEN x < 0.001 THEN 'rare' WHEN x < 0.01 THEN 'uncommon' WHEN x < 0.10 THEN 'medium' WHEN x < 0.50 THEN 'common' ELSE 'dominant' END"
 
 
-@query("tag_density", f"WITH {lines_sql()}, {RUNS}, {SIZES}, {LINE_U}, s AS (SELECT filter_id, count(*) AS n_containers, count(*) FILTER (ctype = 'BITMAP') AS n_bitmap, sum(card) AS cardinality FROM c GROUP BY 1), f AS (SELECT (u + 31) // 32 * 4 AS f, u FROM u) SELECT {_BUCKETS.replace('x <', 'cardinality / u <')} AS bucket, count(*) AS n_tags, sum(n_bitmap * 8192 + n_containers * 9)::BIGINT AS bytes, count(*) * any_value(f) AS flat_bytes, (count(*) * any_value(f)) / sum(n_bitmap * 8192 + n_containers * 9) AS compression FROM s, f GROUP BY 1")
+@query("tag_density", f"WITH {lines_sql()}, {RUNS}, {SIZES}, {LINE_U}, s AS (SELECT filter_id, count(*) AS n_containers, count(*) FILTER (ctype = 'BITMAP') AS n_bitmap, sum(card) AS cardinality FROM c GROUP BY 1), f AS (SELECT (u + 31) // 32 * 4 AS f, u FROM u) SELECT {_BUCKETS.replace('x <', 'cardinality / u <')} AS bucket, count(*) AS n_tags, sum(n_bitmap * 8192 + n_containers * 9)::BIGINT AS bytes, count(*) * any_value(f) AS flat_bytes, (count(*) * any_value(f)) / sum(n_bitmap * 8192 + n_containers * 9) AS compression, round(avg(cardinality * 1e-6::DOUBLE), 9) AS avg_seconds FROM s, f GROUP BY 1")
 def tag_density(spark, d):
-    return stats.density_report(containers.meta(containers.typed(line_members(spark, d))), line_universe(spark, d))
+    """Seconds of building are modelled: a microsecond an id."""
+    tags = containers.meta(containers.typed(line_members(spark, d))).withColumn("seconds", F.col("cardinality") * 1e-6)
+    return stats.density_report(tags, line_universe(spark, d)).withColumn("avg_seconds", F.round("avg_seconds", 9))
 
 
 @query("selectivity_bins", f"WITH {TAGS}, {REQUESTS}, n AS (SELECT tag_id, count(*) AS n FROM t GROUP BY 1), b AS (SELECT query_id, min(n) / (SELECT count(*) FROM part) AS bound FROM q JOIN n USING (tag_id) GROUP BY 1) SELECT query_id, bound, CASE WHEN bound < 0.005 THEN '0.1%' WHEN bound < 0.05 THEN '1%' WHEN bound < 0.08 THEN '5%' WHEN bound < 0.15 THEN '10%' WHEN bound < 0.30 THEN '20%' WHEN bound < 0.60 THEN '50%' ELSE '>50%' END AS bin FROM b")
@@ -236,6 +254,20 @@ def recall_at_k(spark, d):
     return search.recall(truth, found).withColumn("recall", F.round("recall", 9))
 
 
+_THROUGH = f"{_PAIRS}, {_ranked('(SELECT p.* FROM p JOIN embeddings a ON a.vec_id = p.query_id JOIN embeddings b ON b.vec_id = p.id WHERE same AND b.vec_id % 3 = a.vec_id // 50 % 3)', 10, 'x')}"
+
+
+@query("knn_through_filter", f"WITH {_THROUGH} SELECT query_id, rank, id, round(dist, 6) AS dist FROM x")
+def knn_through_filter(spark, d):
+    """Each query searches the intersection of two sets: its label's, and one of three by the id."""
+    vectors, asked = _vectors(spark, d), _asked(spark, d)
+    label, third = F.concat(F.lit("label "), F.col("label").cast("string")), lambda k: F.concat(F.lit("third "), (k % 3).cast("string"))
+    words = ingest.to_words(vectors.select("id", F.explode(F.array(label, third(F.col("id")))).alias("filter_id")).where("filter_id IS NOT NULL").select("filter_id", "id"))
+    requests = asked.select("query_id", F.explode(F.array(label, third(F.floor(F.col("query_id") / 50)))).alias("filter_id")).where("filter_id IS NOT NULL")
+    allowed, members = algebra.multi_and_classes(words, requests)
+    return search.search_filtered(asked, vectors, allowed, members, 10).withColumn("dist", F.round("dist", 6))
+
+
 # -- curves and reports: measurements are derived from orders and customers
 
 _CURVES = "cv AS (SELECT c_mktsegment AS system, c_nationkey::BIGINT AS bin, round(0.5 + (c_custkey * 37 % 500) / 1000.0::DOUBLE, 3) AS recall, floor(1000 + abs(c_acctbal) * 10 * (1.2::DOUBLE - (c_custkey * 37 % 500) / 1000.0::DOUBLE)) AS qps FROM customer)"
@@ -272,10 +304,45 @@ def recall_at_qps(spark, d):
     return search.recall_at(_curves(spark, d), ["system", "bin"], 50000).withColumn("recall", F.round("recall", 9))
 
 
-@query("report_speedup", f"WITH {_CURVES}, {_FRONT}, b AS (SELECT bin, max(qps) FILTER (system = 'BUILDING') AS building, max(qps) FILTER (system = 'MACHINERY') AS machinery FROM pf GROUP BY 1) SELECT bin, building, machinery, round(building / machinery, 9) AS speedup FROM b")
+def _targets(by: str, levels: str) -> str:
+    """CTE met (by, target, qps): the fronts by ``by``, met at each level."""
+    front = _FRONT.replace("PARTITION BY system, bin", f"PARTITION BY {by}").replace("SELECT system, bin,", f"SELECT {by},")
+    following = _NEXT.replace("PARTITION BY system, bin", f"PARTITION BY {by}")
+    return f"""{_CURVES}, {front}, {following}, g AS (SELECT unnest([{levels}])::DOUBLE AS target), ends AS (SELECT {by}, target, max(CASE WHEN recall <= target AND recall2 >= target THEN CASE WHEN recall = recall2 THEN greatest(qps, qps2) ELSE exp(ln(qps) + (target - recall) / (recall2 - recall) * (ln(qps2) - ln(qps))) END END) AS i,
+ min(recall) AS lo, max(recall) AS hi, arg_max(qps, recall) AS qhi, arg_min(qps, recall) AS qlo FROM nx, g GROUP BY ALL),
+met AS (SELECT {by}, target, coalesce(i, CASE WHEN abs(hi - target) < 0.01 THEN qhi WHEN abs(lo - target) < 0.01 THEN qlo END) AS qps FROM ends)"""
+
+
+@query("report_qps_at_recalls", f"WITH {_targets('system', '0.8, 0.9, 0.95, 0.99')} SELECT system, target, round(qps, 4) AS qps FROM met")
+def report_qps_at_recalls(spark, d):
+    return search.qps_table(_curves(spark, d), ["system"], [0.80, 0.90, 0.95, 0.99]).withColumn("qps", F.round("qps", 4))
+
+
+_WIDE = "w AS (SELECT bin, max(qps) FILTER (system = 'BUILDING') AS building, max(qps) FILTER (system = 'MACHINERY') AS machinery, max(qps) FILTER (system = 'FURNITURE') AS furniture FROM met WHERE system IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1)"
+
+
+@query("report_selectivity", f"WITH {_targets('system, bin', '0.9')}, {_WIDE} SELECT bin, round(building, 4) AS building, round(machinery, 4) AS machinery, round(furniture, 4) AS furniture FROM w")
+def report_selectivity(spark, d):
+    wide = search.side_by_side(_curves(spark, d), ["BUILDING", "MACHINERY", "FURNITURE"], 0.9)
+    return wide.select("bin", *[F.round(c, 4).alias(c.lower()) for c in ("BUILDING", "MACHINERY", "FURNITURE")])
+
+
+@query("report_speedup", f"WITH {_targets('system, bin', '0.9')}, {_WIDE} SELECT bin, round(building / machinery, 6) AS over_machinery, round(building / furniture, 6) AS over_furniture FROM w")
 def report_speedup(spark, d):
-    wide = search.pareto(_curves(spark, d), ["system", "bin"]).groupBy("bin").pivot("system", ["BUILDING", "MACHINERY"]).agg(F.max("qps"))
-    return wide.select("bin", F.col("BUILDING").alias("building"), F.col("MACHINERY").alias("machinery"), F.round(F.col("BUILDING") / F.col("MACHINERY"), 9).alias("speedup"))
+    """How much faster the first system is than the others at the target recall, by bin."""
+    wide = search.side_by_side(_curves(spark, d), ["BUILDING", "MACHINERY", "FURNITURE"], 0.9)
+    return wide.select("bin", *[F.round(F.col("BUILDING") / F.col(c), 6).alias(f"over_{c.lower()}") for c in ("MACHINERY", "FURNITURE")])
+
+
+@query(
+    "report_build",
+    """SELECT c_mktsegment AS system, count(*) AS builds, round(avg(c_custkey % 97 / 10.0::DOUBLE), 6) AS avg_seconds, max(c_custkey % 97 / 10.0::DOUBLE) AS most_seconds,
+ sum(c_custkey * 1000)::BIGINT AS index_bytes, sum(c_custkey * 4000)::BIGINT AS flat_bytes, round(sum(c_custkey * 4000) / sum(c_custkey * 1000), 6) AS compression FROM customer GROUP BY 1""",
+)
+def report_build(spark, d):
+    """Build times and memory by system."""
+    runs = table(spark, d, "customer").select(F.col("c_mktsegment").alias("system"), (F.col("c_custkey") % 97 / 10.0).alias("seconds"), (F.col("c_custkey") * 1000).alias("index_bytes"), (F.col("c_custkey") * 4000).alias("flat_bytes"))
+    return stats.build_report(runs, ["system"]).withColumns({c: F.round(c, 6) for c in ("avg_seconds", "compression")})
 
 
 @query(

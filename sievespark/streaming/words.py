@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.ingest import from_predicates, to_words
 from ..sources.storage import new_folder
@@ -16,19 +18,23 @@ def stream_words(stream: DataFrame, id_: Column, predicates: dict[str, Column])
 
 
 def drained(words: DataFrame) -> DataFrame:
-    """Runs a streaming aggregate over all that is there and returns its final words."""
+    """Runs a streaming aggregate over all that is there and returns its final words.
+
+    Each epoch writes the words that it changed, into a folder of its own, so that a repeated epoch writes the same. Bits of
+    a word are only ever added: the final words are all epochs' joined by OR.
+    """
     spark: SparkSession = words.sparkSession
     folder = new_folder(spark, "stream")
-    name = f"words_{uuid.uuid4().hex}"
-    latest: dict[str, str] = {}
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        # complete mode: each batch holds all words, and a repeated epoch writes the same
-        batch.write.mode("overwrite").parquet(f"{folder}/{epoch}")
-        latest["path"] = f"{folder}/{epoch}"
+        batch.write.mode("overwrite").parquet(f"{folder}/words/epoch={epoch}")
 
-    query = words.writeStream.outputMode("complete").queryName(name).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query = words.writeStream.outputMode("update").queryName(f"words_{uuid.uuid4().hex}").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    if "path" not in latest:
+    try:
+        found = spark.read.schema(words.schema).parquet(f"{folder}/words")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], words.schema)
-    return spark.read.schema(words.schema).parquet(latest["path"])
+    return found.groupBy("filter_id", "word_idx").agg(F.bit_or("word").alias("word"))

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def canon(rows, names):
     order = sorted(range(len(names)), key=names.__getitem__)
-    return sorted(tuple(round(r[k], 6) if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows)
+    return sorted((tuple(round(r[k], 6) if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows), key=str)
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievespark.operators import search, stats
-from sievespark.sources import binary
+from sievespark.operators import algebra, ingest, search, stats
+from sievespark.sources import binary, results
 from sievespark.sources.storage import new_folder
 
 
@@ -63,6 +63,42 @@ def test_search(spark):
     assert partial.queries == 2 and partial.recall == 0.25
 
 
+def test_search_in_blocks_and_through_sets(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 2)
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(300, 4))
+    vectors = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)] + [(300, None)], "id long, embedding array<double>")
+    asked = vectors.where("id % 30 = 0").select(F.col("id").alias("query_id"), "embedding")
+    sets = {"even": set(range(0, 300, 2)), "low": set(range(150)), "empty": set()}
+    words = ingest.to_words(spark.createDataFrame([(n, i) for n, s in sets.items() for i in s], "filter_id string, id long"))
+    wants = {0: ["even", "low"], 30: ["even"], 60: ["low", "even"], 90: ["low"], 120: ["even", "empty"]}
+    requests = spark.createDataFrame([(q, n) for q, names in wants.items() for n in names], "query_id long, filter_id string")
+    allowed, members = algebra.multi_and_classes(words, requests)
+    assert len({r.class_id for r in members.collect()}) == 4
+    got = {}
+    for r in search.search_filtered(asked, vectors, allowed, members, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for q, names in wants.items():
+        inside = set.intersection(*(sets[n] for n in names)) - {q}
+        near = sorted(inside, key=lambda i: (((points[i] - points[q]) ** 2).sum(), i))[:5]
+        assert [i for _, i in sorted(got.get(q, []))] == near
+    every = search.search_all(asked, vectors, 3).collect()
+    for q in range(0, 300, 30):
+        near = sorted(set(range(300)) - {q}, key=lambda i: (((points[i] - points[q]) ** 2).sum(), i))[:3]
+        assert [r.id for r in sorted(every, key=lambda r: r["rank"]) if r.query_id == q] == near
+
+
+@pytest.mark.parametrize("kind", results.FORMATS)
+def test_results(spark, tmp_path, kind):
+    rows = [(1, "a, \"b\"", 0.1), (2, None, None), (3, "two\nlines" if kind == "json" else "x", 1e-300)]
+    df = spark.createDataFrame(rows, "id int, name string, qps double")
+    folder = results.write_results(df, f"file://{tmp_path}/r", kind)
+    assert sorted(tuple(r) for r in results.read_results(spark, folder, "id int, name string, qps double", kind).collect()) == rows
+    with pytest.raises(ValueError):
+        results.write_results(df, folder, "xml")
+
+
 def test_curves(spark):
     rows = [("s", 0.9, 100.0), ("s", 0.8, 400.0), ("s", 0.85, 50.0), ("s", 0.99, 10.0), ("t", 0.5, 7.0)]
     curves = spark.createDataFrame(rows, "system string, recall double, qps double")

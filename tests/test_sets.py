@@ -217,3 +217,74 @@ def test_empty(spark):
     assert words.count() == containers.build(none).count() == export.enumerate_ids(words).count() == 0
     assert ids(algebra.complement_gaps(none.select("id"), 10)) == set(range(10))
     assert ids(export.enumerate_ids(evaluate(words, ~Filter("a"), 40))) == set(range(40))
+
+
+def test_buffer_beyond_the_universe(spark):
+    words = one(words_of(spark, {"a": {0, 33, 63}}), "a")
+    rows = {r.word_idx: r.word for r in export.decompress(words, 64, limit=10).collect()}
+    assert rows == {0: 1, 1: (1 << 1) | (1 << 31)} | {k: 0 for k in range(2, 10)}
+    rows = {r.word_idx: r.word for r in export.decompress(words, 40, negated=True, limit=3).collect()}
+    assert rows == {0: 0xFFFFFFFE, 1: 0xFD, 2: 0}
+    assert {r.word_idx for r in export.decompress(words, 64, limit=1).collect()} == {0}
+
+
+def test_runs_of_words(spark):
+    sets = {"a": {0, 1, 31, 32, 33, 63, 64, 65535, 65536, 65537, 200_000}, "all": set(range(131072)), "b": set(range(5, 4000, 2)) | set(range(10_000, 30_000))}
+    got = {}
+    for r in containers.runs(frame(spark, sets)).collect():
+        got.setdefault((r.filter_id, r.key), []).append((r.start, r.length))
+    for name, s in sets.items():
+        for key in {i >> 16 for i in s}:
+            lows, want = sorted(i & 65535 for i in s if i >> 16 == key), []
+            for low in lows:
+                if want and sum(want[-1]) + 1 == low:
+                    want[-1] = (want[-1][0], want[-1][1] + 1)
+                else:
+                    want.append((low, 0))
+            assert sorted(got[name, key]) == want
+    sizes = {(r.filter_id, r.key): (r.card, r.n_runs) for r in containers.sizes(frame(spark, sets)).collect()}
+    assert sizes["all", 0] == sizes["all", 1] == (65536, 1) and sizes["a", 0] == (8, len(got["a", 0]))
+
+
+def test_automatic_promotion(spark):
+    members = frame(spark, {"a": {1, 70000}, "b": set(range(0, 60_000, 7))})
+    held = containers.build(members)
+    kinds = lambda df: {(r.filter_id, r.key): r.ctype for r in df.collect()}
+    assert kinds(containers.promote_auto(held, 10**6)) == kinds(held)
+    assert set(kinds(containers.promote_auto(held, 10**9)).values()) == {"BITMAP"}
+    assert set(kinds(containers.build_auto(members, 10**9)).values()) == {"BITMAP"}
+    # 16 KB of bitmaps are half of the flat bitset of 2**18 ids
+    assert kinds(containers.build_auto(members, 1 << 18, 100)) == kinds(held)
+    assert sets_of(containers.members(containers.promote_auto(held, 10**9))) == sets_of(members)
+    for call in (lambda: containers.promote(held, policy.AUTO), lambda: containers.build(members, policy.AUTO)):
+        with pytest.raises(ValueError, match="resolved"):
+            call()
+
+
+def test_unknown_sets_and_places(spark):
+    catalog = ingest.catalog(frame(spark, {"a": {1}, "b": {2}}), 10)
+    assert algebra.known(catalog, ["b", "a", "b"]) == ["b", "a"]
+    with pytest.raises(KeyError, match="nope"):
+        algebra.known(catalog, ["a", "nope"])
+    assert algebra.named(["a", "b"], [1, 0, 1]) == ["b", "a", "b"]
+    for place in (2, -1):
+        with pytest.raises(IndexError):
+            algebra.named(["a", "b"], [0, place])
+    requests = spark.createDataFrame([(1, "a"), (1, "c")], "query_id long, filter_id string")
+    assert {(r.filter_id, r.known) for r in algebra.checked(requests, catalog).collect()} == {("a", True), ("c", False)}
+
+
+def test_dense_pairs_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(export, "STRETCH", 3)
+    words = words_of(spark, {"a": {0, 64, 700}, "b": set()})
+    universes = spark.createDataFrame([("a", 701), ("b", 64), ("none", 0)], "filter_id string, universe long")
+    rows = {(r.filter_id, r.pair_idx): (r.low, r.high) for r in export.decompress_batch(words, universes).collect()}
+    assert set(rows) == {("a", k) for k in range(11)} | {("b", 0)}
+    assert rows["a", 0] == rows["a", 1] == (1, 0) and rows["a", 10] == (0, 1 << 28)
+
+
+def test_lists_end_to_end(spark):
+    sets = {"a": {5, 70_000, 70_001}, "b": {1}, "c": set(range(65530, 65540))}
+    rows = sorted((r.filter_id, r.key, r.ids, r.start, r.stop) for r in export.csr(frame(spark, sets)).collect())
+    assert [r[3] for r in rows] == [0, 1, 3, 4, 10] and [r[4] for r in rows] == [1, 3, 4, 10, 14]
+    assert [i for r in rows for i in r[2]] == [i for n in "abc" for i in sorted(sets[n])]
