@@ -64,10 +64,9 @@ def count_tokens(docs: DataFrame, model: str, cache: str, text: str = "text") ->
     path = f"{cache}/tokenizer={version(model)}"
     content = text_or_empty(text)
     keyed = small_batches(docs).select(digest(content).alias("digest"), content.alias("text"))
-    known = _read(spark, path)
+    known, misses = _read(spark, path), keyed.groupBy("digest").agg(F.first("text").alias("text"))
     if known is not None:
-        keyed = keyed.join(known, "digest", "left_anti")
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+        misses = misses.join(known, "digest", "left_anti")
     misses.mapInArrow(_counted(model), "digest binary, n_tokens long").write.mode("append").parquet(path)
     # of the cache only what these documents need; two runs may have appended the same
     asked = docs.select(digest(content).alias("digest")).distinct()
