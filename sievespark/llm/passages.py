@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import components, drop, small_batches, written
+from ._shared import components, drop, fresh, small_batches, written
 from ._words import Runs, chunks, five, mix, powers, whole
 
 #: Words of a shingle and of a paragraph; the similarity of paragraphs.
@@ -455,13 +455,13 @@ def cut(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], cuts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c) for c in names}
-            hit = [k for k, gone in enumerate(batch.column("__gone")) if gone.is_valid and columns["text"][k].is_valid]
+            hit = [k for k, gone in enumerate(batch.column(cuts)) if gone.is_valid and columns["text"][k].is_valid]
             if hit:
-                texts = {k: cut(columns["text"][k].as_py(), [(s["start"], s["stop"]) for s in batch.column("__gone")[k].as_py()]) for k in hit}
+                texts = {k: cut(columns["text"][k].as_py(), [(s["start"], s["stop"]) for s in batch.column(cuts)[k].as_py()]) for k in hit}
                 columns["text"] = pa.array([texts[k] if k in texts else t.as_py() for k, t in enumerate(columns["text"])], pa.string())
                 if "n_chars" in columns:
                     kind = columns["n_chars"].type
@@ -479,11 +479,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Documents that lose nothing, null and empty texts among them, stay as they are. Where a column n_chars counts
     characters, it is set anew for those cut; other columns stay, whatever their names.
     """
-    gone = repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
-    gone = written(gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "gone")
-    same = (docs["doc_id"].cast("long") == gone["__id"]) & (gone["__hash"].isNull() | (F.xxhash64(docs["text"]) == gone["__hash"]))
-    rows = docs.join(gone.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], "__gone")
-    return rows.mapInArrow(_cut(docs.columns), docs.schema)
+    id_, hash_, cuts = (fresh(docs.columns, name) for name in ("__id", "__hash", "__gone"))
+    gone = repeats(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias(cuts))
+    gone = written(gone.withColumnsRenamed({"doc_id": id_, "text_hash": hash_}), "gone")
+    same = (docs["doc_id"].cast("long") == gone[id_]) & (gone[hash_].isNull() | (F.xxhash64(docs["text"]) == gone[hash_]))
+    rows = docs.join(gone.hint("merge"), same, "left").select(*[docs[c] for c in docs.columns], cuts)
+    return rows.mapInArrow(_cut(docs.columns, cuts), docs.schema)
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

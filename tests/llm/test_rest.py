@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from sievespark.llm import language, media, neighbours
 from sievespark.llm._shared import new_path
 
-DATA = "/root/testdata/sf0.001"
 SYLLABLES = {"aa": ["ka", "to", "mi", "re"], "bb": ["schu", "ung", "ßer", "ich"], "cc": ["ção", "nho", "é", "lhe"]}
 
 
@@ -221,15 +220,3 @@ def test_member_is_read_again(tmp_path, monkeypatch):
     monkeypatch.setattr(media.ArchiveReader, "checked", staticmethod(torn))
     (batch,) = reader.read(part)
     assert batch.column("media").to_pylist() == [b"data %d" % k for k in range(5)] and len(calls) == 2 and len(set(calls)) == 1
-
-
-@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = corpus_pipeline.run(spark, DATA).collect()
-    assert out and {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()}
-    assert all(r.exact and r.n_pieces == len(r.ids) for r in out)
-    again = corpus_pipeline.run(spark, DATA).collect()
-    assert sorted((r.doc_id, r.ids_crc32) for r in out) == sorted((r.doc_id, r.ids_crc32) for r in again)
