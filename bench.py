@@ -16,7 +16,7 @@ from sievespark.plans.queries import QUERIES
 HEADLINE = [
     "upload_batch_words", "upload_catalog", "filter_meta", "set_and", "set_or", "set_andnot", "set_xor", "multi_and_3", "multi_and_8", "multi_and_chain", "multi_and_builtin", "multi_or",
     "multi_and_mixed_negation", "multi_and_all_negated", "multi_and_grouped", "contains_probe", "contains_batch", "enumerate_ids", "enumerate_indptr", "decompress_dense", "decompress_batch",
-    "promote_roundtrip", "complement_words", "tag_query_ids", "knn_prefilter", "knn_all", "recall_at_k",
+    "promote_roundtrip", "complement_words", "tag_query_ids", "tag_query_members", "knn_prefilter", "knn_all", "knn_through_filter", "recall_at_k", "csr_lists", "stats_summary",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

@@ -9,12 +9,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -134,16 +136,28 @@ class VectorReader(_Reader):
 
 
 class SparseReader(_Reader):
-    """Split by entries; a split finds its first row among the starts."""
+    """Split by entries; a split finds its first row by bisection, and reads the starts from there on as it goes."""
 
     def rows(self, f) -> int:
         return int(_numbers(f, "<i8", 3, 0)[2])
 
+    def first_row(self, f, rows: int, entry: int) -> int:
+        """The row that holds an entry: the last one that begins at or before it."""
+        low, high = 0, rows
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if int(_numbers(f, "<i8", 1, 24 + 8 * mid)[0]) <= entry else (low, mid - 1)
+        return low
+
     def batch(self, f, start, stop):
         rows, _, entries = (int(x) for x in _numbers(f, "<i8", 3, 0))
-        starts = _numbers(f, "<i8", rows + 1, 24)
-        base = 24 + 8 * (rows + 1)
-        row = np.searchsorted(starts, np.arange(start, stop), side="right") - 1
+        base, first, parts = 24 + 8 * (rows + 1), self.first_row(f, rows, start), []
+        at = first
+        while at <= rows and (not parts or parts[-1][-1] < stop):
+            n = min(BATCH, rows + 1 - at)
+            parts.append(_numbers(f, "<i8", n, 24 + 8 * at))
+            at += n
+        row = first + np.searchsorted(np.concatenate(parts), np.arange(start, stop), side="right") - 1
         columns, values = _numbers(f, "<i4", stop - start, base + 4 * start), _numbers(f, "<f4", stop - start, base + 4 * entries + 4 * start)
         return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), pa.array(columns.astype(np.int64)), pa.array(values)], names=["row", "col", "value"])
 
@@ -222,75 +236,122 @@ def write_tags(tags: DataFrame, folder: str) -> int:
     return laid.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
 
 
-def _write_one(rows: DataFrame, folder: str, name: str, make) -> str:
-    """A file that its layout wants whole is written by one task from ordered rows."""
+#: Bytes copied at a time when parts are put together.
+COPY = 8 << 20
+
+
+def _write_parts(rows: DataFrame, order: list[str], folder: str, name: str, encode, head) -> str:
+    """A file that its layout wants whole, from rows in ``order``: tasks encode ranges of rows into parts, which are then copied
+    end to end behind ``head(notes)``.
+
+    ``encode(table)`` gives a batch's bytes, a list of one block a section of the file, and a note (a tuple of numbers); sections of
+    all parts follow one another. The driver sees one row of names, sizes and notes a part, and copies bytes only. A
+    part that a lost attempt left is never read; the file gets its name when it is whole.
+    """
+    fs, path = _open(folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        table = pa.Table.from_batches(held) if held else None
-        fs, path = _open(folder, name)
-        with fs.open_output_stream(path + ".part") as f:
-            for block in make(table):
-                f.write(block)
-        fs.move(path + ".part", path)
-        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
-
-    rows.mapInArrow(run, "path string").collect()
+        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        part, own, outs, notes = TaskContext.get().partitionId(), uuid.uuid4().hex, [], []
+        for batch in batches:
+            if batch.num_rows:
+                blocks, note = encode(batch)
+                outs = outs or [fs.open_output_stream(f"{path}.{own}.{k}") for k in range(len(blocks))]
+                for out, block in zip(outs, blocks, strict=True):
+                    out.write(block)
+                notes.append(note)
+        for out in outs:
+            out.close()
+        if outs:
+            total = [sum(n) for n in zip(*notes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([own]), pa.array([len(outs)]), pa.array([total], pa.list_(pa.int64()))], names=["part", "own", "sections", "note"])
+
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = sorted(tuple(r) for r in laid.mapInArrow(run, "part long, own string, sections long, note array<long>").collect())
+    with fs.open_output_stream(path + ".part") as out:
+        out.write(head([list(p[3]) for p in parts]))
+        for k in range(parts[0][2] if parts else 0):
+            for _, own, _, _ in parts:
+                with fs.open_input_stream(f"{path}.{own}.{k}") as part:
+                    while block := part.read(COPY):
+                        out.write(block)
+    for _, own, sections, _ in parts:
+        for k in range(sections):
+            fs.delete_file(f"{path}.{own}.{k}")
+    fs.move(path + ".part", path)
     return f"{folder}/{name}"
 
 
+def _flat(lists: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an array of lists, and the lists' lengths."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(kind), np.diff(lists.offsets.to_numpy())
+
+
 def write_queries(requests: DataFrame, folder: str) -> str:
     """queries.bin from (query_id, tag_id); queries are renumbered from 0 in the order of their ids."""
 
-    def make(table):
-        if table is None:
-            yield np.array([0], "<u4").tobytes()
-            return
-        lists = table.column("tags").to_pylist()
-        yield np.array([len(lists)], "<u4").tobytes()
-        for tags in lists:
-            yield np.array([len(tags), *tags], "<u4").tobytes()
+    def encode(batch):
+        values, sizes = _flat(batch.column("tags"), "<u4")
+        return [np.insert(values, np.cumsum(sizes) - sizes, sizes).astype("<u4").tobytes()], (len(sizes),)
 
-    lists = requests.distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("tag_id")).alias("tags"))
-    return _write_one(lists.coalesce(1).sortWithinPartitions("query_id"), folder, "queries.bin", make)
+    lists = requests.groupBy("query_id").agg(F.sort_array(F.collect_set("tag_id")).alias("tags"))
+    return _write_parts(lists, ["query_id"], folder, "queries.bin", encode, lambda notes: np.array([sum(n for (n,) in notes)], "<u4").tobytes())
 
 
 def write_truth(found: DataFrame, folder: str, k: int) -> str:
     """groundtruth.bin from (query_id, rank, id); queries are renumbered from 0, places not filled hold 2**32 - 1."""
 
-    def make(table):
-        n = 0 if table is None else table.num_rows
-        yield np.array([n, k], "<u4").tobytes()
-        for ids in table.column("ids").to_pylist() if n else []:
-            yield np.array([*ids, *[2**32 - 1] * (k - len(ids))], "<u4").tobytes()
+    def encode(batch):
+        values, sizes = _flat(batch.column("ids"), "<u4")
+        table = np.full((len(sizes), k), 2**32 - 1, "<u4")
+        table[np.arange(k) < sizes[:, None]] = values
+        return [table.tobytes()], (len(sizes),)
 
     lists = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
-    return _write_one(lists.coalesce(1).sortWithinPartitions("query_id"), folder, "groundtruth.bin", make)
+    return _write_parts(lists, ["query_id"], folder, "groundtruth.bin", encode, lambda notes: np.array([sum(n for (n,) in notes), k], "<u4").tobytes())
 
 
 def write_vectors(vectors: DataFrame, folder: str, name: str, layout: str) -> str:
-    """A dense file from (id, vector) of one width, in the order of the ids."""
+    """A dense file from (id, vector) of one width, in the order of the ids; vectors of different widths are an error."""
     kind = BinarySource.KINDS[layout]
 
-    def make(table):
-        rows = [] if table is None else table.column("vector").to_pylist()
-        yield np.array([len(rows), len(rows[0]) if rows else 0], "<i4").tobytes()
-        for row in rows:
-            yield np.array(row).astype(kind).tobytes()
+    def encode(batch):
+        values, sizes = _flat(batch.column("vector"), kind)
+        return [values.tobytes()], (len(sizes), int(sizes.sum()))
+
+    def head(notes):
+        n, total = sum(a for a, _ in notes), sum(b for _, b in notes)
+        if any(b * n != total * a for a, b in notes):
+            raise ValueError("vectors are not of one width")
+        return np.array([n, total // n if n else 0], "<i4").tobytes()
 
-    return _write_one(vectors.select("id", "vector").coalesce(1).sortWithinPartitions("id"), folder, name, make)
+    return _write_parts(vectors.select("id", "vector"), ["id"], folder, name, encode, head)
 
 
 def write_sparse(cells: DataFrame, folder: str, name: str, rows: int, columns: int) -> str:
-    """A sparse file from (row, col, value)."""
-
-    def make(table):
-        n = 0 if table is None else table.num_rows
-        row = np.zeros(0, np.int64) if n == 0 else table.column("row").to_numpy()
-        yield np.array([rows, columns, n], "<i8").tobytes()
-        yield np.searchsorted(row, np.arange(rows + 1)).astype("<i8").tobytes()
-        if n:
-            yield table.column("col").to_numpy().astype("<i4").tobytes()
-            yield table.column("value").to_numpy().astype("<f4").tobytes()
-
-    return _write_one(cells.select("row", "col", "value").coalesce(1).sortWithinPartitions("row", "col"), folder, name, make)
+    """A sparse file from (row, col, value): the rows' starts, from counts by row, then all columns, then all values."""
+    fs, path = _open(folder, name)
+    counts = cells.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    every = cells.sparkSession.range(rows).select(F.col("id").alias("row")).join(counts, "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = _write_parts(every, ["row"], folder, name + ".sizes", lambda b: ([b.column("n").to_numpy().astype("<i8").tobytes()], (int(b.column("n").to_numpy().sum()),)), lambda notes: b"")
+    body = _write_parts(
+        cells.select("row", "col", "value"), ["row", "col"], folder, name + ".cells",
+        lambda b: ([b.column("col").to_numpy().astype("<i4").tobytes(), b.column("value").to_numpy().astype("<f4").tobytes()], (b.num_rows,)), lambda notes: b"",
+    )
+    with fs.open_output_stream(path + ".part") as out:
+        total = fs.get_file_info(f"{path}.cells").size // 8
+        out.write(np.array([rows, columns, total], "<i8").tobytes())
+        out.write(np.zeros(1, "<i8").tobytes())
+        at = 0
+        with fs.open_input_stream(f"{path}.sizes") as f:
+            while block := f.read(COPY):
+                starts = at + np.cumsum(np.frombuffer(block, "<i8"))
+                at = int(starts[-1])
+                out.write(starts.astype("<i8").tobytes())
+        with fs.open_input_stream(f"{path}.cells") as f:
+            while block := f.read(COPY):
+                out.write(block)
+    for gone in (sizes, body):
+        fs.delete_file(f"{path}{gone[len(folder) + 1 + len(name):]}")
+    fs.move(path + ".part", path)
+    return f"{folder}/{name}"

@@ -16,29 +16,36 @@ PLAIN, WITH_RUNS, OFFSETS_FROM = 12346, 12347, 4
 KINDS = (ARRAY, BITMAP, RUN)
 
 
-def dump(rows: list[dict]) -> bytes:
-    """Containers of one set, ordered by key."""
-    rows = sorted(rows, key=lambda r: r["key"])
-    bodies = []
-    for r in rows:
-        if r["ctype"] == ARRAY:
-            bodies.append(np.array(r["arr"], "<u2").tobytes())
-        elif r["ctype"] == RUN:
-            flat = [v for run in r["runs"] for v in (run["start"], run["length"])]
-            bodies.append(np.array([len(r["runs"]), *flat], "<u2").tobytes())
+def _bodies(ctype: pa.Array, arr: pa.Array, runs: pa.Array, words: pa.Array) -> list[bytes]:
+    """Payloads of containers in the format's bytes, from columns."""
+    out = []
+    for k, kind in enumerate(ctype.to_pylist()):
+        if kind == ARRAY:
+            out.append(arr[k].values.to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+        elif kind == RUN:
+            own = runs[k].values
+            pairs = np.stack([own.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
+            out.append(np.concatenate([[len(pairs)], pairs.ravel()]).astype("<u2").tobytes())
         else:
-            words = np.zeros(2048, "<u4")
-            words[[w["pos"] for w in r["words"]]] = [w["word"] for w in r["words"]]
-            bodies.append(words.tobytes())
-    n = len(rows)
-    any_run = any(r["ctype"] == RUN for r in rows)
-    if any_run:
-        flags = np.packbits([r["ctype"] == RUN for r in rows], bitorder="little").tobytes()
-        head = np.array([WITH_RUNS | (n - 1) << 16], "<u4").tobytes() + flags
+            table, own = np.zeros(2048, "<u4"), words[k].values
+            table[own.field(0).to_numpy(zero_copy_only=False)] = own.field(1).to_numpy(zero_copy_only=False)
+            out.append(table.tobytes())
+    return out
+
+
+def dump(table: pa.Table) -> bytes:
+    """Containers of one set (key, ctype, card, arr, runs, words)."""
+    table = table.sort_by("key").combine_chunks()
+    column = lambda c: table.column(c).chunk(0) if table.num_rows else pa.array([], table.schema.field(c).type)
+    ctype, keys, cards = column("ctype"), column("key").to_numpy(), column("card").to_numpy()
+    bodies = _bodies(ctype, column("arr"), column("runs"), column("words"))
+    n, is_run = len(keys), np.array([c == RUN for c in ctype.to_pylist()], bool)
+    if is_run.any():
+        head = np.array([WITH_RUNS | (n - 1) << 16], "<u4").tobytes() + np.packbits(is_run, bitorder="little").tobytes()
     else:
         head = np.array([PLAIN, n], "<u4").tobytes()
-    head += np.array([v for r in rows for v in (r["key"], r["card"] - 1)], "<u2").tobytes()
-    if not any_run or n >= OFFSETS_FROM:
+    head += np.stack([keys, cards - 1], axis=1).astype("<u2").tobytes()
+    if not is_run.any() or n >= OFFSETS_FROM:
         sizes = np.array([0, *(len(b) for b in bodies)], np.int64)
         head += (len(head) + 4 * n + np.cumsum(sizes)[:-1]).astype("<u4").tobytes()
     return head + b"".join(bodies)
@@ -85,7 +92,7 @@ def serialise(containers: DataFrame) -> DataFrame:
     """(filter_id, data) from containers in the format's own encoding (threshold KEEP). A set has at most 65,536 containers."""
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table({"filter_id": [table.column("filter_id")[0].as_py()], "data": pa.array([dump(table.to_pylist())], pa.binary())})
+        return pa.table({"filter_id": [table.column("filter_id")[0].as_py()], "data": pa.array([dump(table)], pa.binary())})
 
     return containers.groupBy("filter_id").applyInArrow(run, "filter_id string, data binary")
 
