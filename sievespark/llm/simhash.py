@@ -149,8 +149,8 @@ def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies of whole documents: five-word shingles, exact similarity, segments of a 192-bit fingerprint.
-SIMILARITY, SEGMENTS = 0.8, 7
+#: Near copies of whole documents: five-word shingles, exact similarity, segments of a 256-bit fingerprint.
+SIMILARITY, SEGMENTS, LANES = 0.8, 11, 4
 #: Members of a key that meet as many in one task.
 BLOCK = 2048
 
@@ -164,14 +164,14 @@ def mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
 def anchored_keys(found: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Keys of each text by the hashes of its shingles, which lie end to end.
 
-    23-bit segments of a 192-bit fingerprint are decoded to the codeword indices nearby, one to six each. Twelve
+    23-bit segments of a 256-bit fingerprint are decoded to the codeword indices nearby, one to six each. Twelve
     bits alone would gather a 4096th of all documents under a key, so each segment's keys also hold a MinHash of the
     document: a key then gathers near copies and hardly anything else, however many documents there are.
     """
     starts, held = ends[:-1], np.flatnonzero(np.diff(ends))
     if not len(held):
         return [np.zeros(0, np.int64)] * len(starts)
-    lanes = np.stack([found, mixed(found, 100), mixed(found, 101)], axis=1).view(np.uint8).reshape(len(found), 24)
+    lanes = np.stack([found, *(mixed(found, 99 + k) for k in range(1, LANES))], axis=1).view(np.uint8).reshape(len(found), 8 * LANES)
     bits = np.stack([majority(lanes[ends[k] : ends[k + 1]]) for k in held])[:, : 23 * SEGMENTS].reshape(-1, 23)
     near, real = golay.indices(bits @ (1 << np.arange(23)))
     near, real = near.reshape(len(held), SEGMENTS, -1), real.reshape(len(held), SEGMENTS, -1)
@@ -314,7 +314,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     compared or linked. A link stands if the exact Jaccard similarity of the sets of five-word shingles is at least
     ``similarity``; shingles are told apart by 32 bits of their hashes. Of each component of links the least
     doc_id is kept. Two texts at 0.8 share a segment's key with a chance of about one half, hence some key of
-    the seven in 99 of 100 cases, at 0.9 nearly always.
+    the eleven nearly always: of 2000 drawn pairs at 0.8, 4 shared none with 100 shingles each, none failed to with 400.
 
     Texts without words (null and empty ones) are copies of one another; texts of fewer than five words are one shingle; whole
     texts are read, however long. doc_id null takes no part; rows repeated with their doc_id, with the same text or
