@@ -243,8 +243,8 @@ class _Members:
     def alike(self, own: np.ndarray, root: int, similarity: float) -> list[int]:
         """The least id of each other component (root) that has a document alike."""
         at = np.searchsorted(self.values, own)
-        at = at[(at < len(self.values))]
-        at = at[np.isin(self.values[at], own)]
+        inside = at < len(self.values)
+        at = at[inside][self.values[at[inside]] == own[inside]]
         signs = np.where(self.often[at], -1, 1)
         counts = self.starts[at + 1] - self.starts[at]
         where = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
