@@ -224,6 +224,7 @@ class _Members:
     def __init__(self, ids: list[int], roots: list[int], sets: list[np.ndarray]) -> None:
         order = np.argsort(ids)
         self.ids, self.roots = np.array(ids)[order], np.array(roots)[order]
+        self.into: dict[int, int] = {}
         sets = [sets[k] for k in order]
         self.sizes = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), self.sizes)
@@ -241,7 +242,11 @@ class _Members:
         self.rows, self.starts = rows[by], np.searchsorted(lists[by], np.arange(len(values) + 1))
 
     def alike(self, own: np.ndarray, root: int, similarity: float) -> list[int]:
-        """The least id of each other component (root) that has a document alike."""
+        """The least id of each other component (root) that has a document alike; from then on they are one component."""
+        while root in self.into:
+            root = self.into[root]
+        if (self.roots == root).all():
+            return []
         at = np.searchsorted(self.values, own)
         inside = at < len(self.values)
         at = at[inside][self.values[at[inside]] == own[inside]]
@@ -250,31 +255,61 @@ class _Members:
         where = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         common = np.bincount(self.rows[where], np.repeat(signs, counts), len(self.ids)) + int(self.often[at].sum())
         good = np.flatnonzero((common >= similarity * (len(own) + self.sizes - common)) & (self.roots != root))
-        return self.ids[good[np.unique(self.roots[good], return_index=True)[1]]].tolist()
+        met, first = np.unique(self.roots[good], return_index=True)
+        if len(met):
+            self.into.update(dict.fromkeys(met.tolist(), root))
+            self.roots[np.isin(self.roots, met)] = root
+        return self.ids[good[first]].tolist()
+
+
+#: What a row is in its cell: a member, a document that is compared with the members, or both.
+MEMBER, OUTER, BOTH = 0, 1, 2
 
 
 def _met(similarity: float):
-    """Rows in order of (key, i, j, kind): a cell's members come before the documents that are compared with them."""
+    """Rows in order of (key, i, j, kind): a cell's members come before the documents that are compared with them.
+
+    A cell whose documents are in both places holds each of them once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, roots, sets, members = None, [], [], [], None
+        now, ids, roots, sets, both, members = None, [], [], [], [], None
+        a, b = [], []
+
+        def link(id_: int, others: list[int]) -> None:
+            a.extend(min(id_, other) for other in others)
+            b.extend(max(id_, other) for other in others)
+
+        def close() -> None:
+            if both and len(ids) > 1:
+                every = _Members(ids, roots, sets)
+                for k in both:
+                    link(ids[k], every.alike(sets[k], roots[k], similarity))
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            a, b = [], []
             cells = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
             for k, (cell, kind, id_, root) in enumerate(zip(cells, *(batch.column(c).to_pylist() for c in ("kind", "id", "root")), strict=True)):
                 if cell != now:
-                    now, ids, roots, sets, members = cell, [], [], [], None
+                    close()
+                    now, ids, roots, sets, both, members = cell, [], [], [], [], None
                 own = batch.column("shingles")[k].values.to_numpy()
-                if kind == 0:
-                    ids.append(id_)
-                    roots.append(root)
-                    sets.append(own)
-                elif ids:
-                    members = members or _Members(ids, roots, sets)
-                    for other in members.alike(own, root, similarity):
-                        a.append(min(id_, other))
-                        b.append(max(id_, other))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if kind == OUTER:
+                    if ids:
+                        members = members or _Members(ids, roots, sets)
+                        link(id_, members.alike(own, root, similarity))
+                    continue
+                if kind == BOTH:
+                    both.append(len(ids))
+                ids.append(id_)
+                roots.append(root)
+                sets.append(own)
+            yield found()
+            a, b = [], []
+        close()
+        yield found()
 
     return run
 
@@ -283,9 +318,9 @@ def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     """Links (a, b) between documents that share a key (rows id, key) and are of different components (node, root).
 
     Members of a key's largest component need no comparison with one another, so each pair has a member outside of it. Those
-    are met with all members block by block, by lists of shingles within a task, and each gives one link
-    to a component: rows are as many as members, but for groups of more than BLOCK on both sides. Keys with
-    the same members count once.
+    are met with all members block by block, by lists of shingles within a task. What a link joins is one component from
+    then on, so a block gives fewer links than it holds components, even if all its documents are alike and none is linked yet. A group of
+    up to BLOCK members is one cell, in which each has one row; only larger groups have more. Keys with the same members count once.
     """
     placed = written(shared.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "placed")
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
@@ -296,8 +331,9 @@ def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     placed = written(placed.join(main, "key"), "crowds")
     block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = placed.select("key", "id", "root", every("p").alias("i"), block("q").alias("j"), F.lit(0).alias("kind"))
-    outer = placed.where("root <> main").select("key", "id", "root", block("p").alias("i"), every("q").alias("j"), F.lit(1).alias("kind"))
+    kind = F.when(F.expr("p = 1 AND q = 1 AND root <> main"), BOTH).otherwise(MEMBER)
+    members = placed.select("key", "id", "root", every("p").alias("i"), block("q").alias("j"), kind.alias("kind"))
+    outer = placed.where("root <> main AND (p > 1 OR q > 1)").select("key", "id", "root", block("p").alias("i"), every("q").alias("j"), F.lit(OUTER).alias("kind"))
     rows = members.unionByName(outer).join(sets.hint("merge"), "id")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
     out = written(rows.mapInArrow(_met(similarity), "a long, b long").distinct(), "across")
@@ -305,12 +341,26 @@ def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     return out
 
 
+def _central(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each document with the most central one that it shares a key with (rows id, key, n: members of the key).
+
+    The most central document is the one whose keys gather most. However many keys a group's members share, each gives
+    one pair, and members of one group mostly name the same document.
+    """
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    tops = written(shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")), "tops")
+    pairs = shared.join(tops, "key").groupBy("id").agg((-F.max("top")["minus"]).alias("top")).where("id <> top")
+    out = written(pairs.select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct(), "pairs")
+    drop(tops)
+    return out
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, kept_id) of the documents that are copies or near copies of another one, which is kept.
 
     Texts of equal words are one node, named by the least doc_id. Nodes that share a key of ``anchored_keys`` are
-    candidates: within a key each is first compared with the least and with the most central one (whose keys gather
-    most), which settles these two; then every two others that those links leave in different components are compared (``_across``), so
+    candidates: each is first compared with the most central node that it shares a key with (``_central``), one pair a node;
+    then every two of a key that those links leave in different components are compared (``_across``), so
     all that share a key are compared or linked. A link stands if the exact Jaccard similarity of the sets of five-word shingles is at least
     ``similarity``; shingles are told apart by 32 bits of their hashes. Of each component of links the least
     doc_id is kept. Two texts at 0.8 share a segment's key with a chance of about one half, hence some key of
@@ -331,19 +381,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     shared = written(keyed.join(sizes, "key").distinct(), "shared")
     for gone in (base, names, keyed, sizes):
         drop(gone)
-    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    pivots = shared.join(weight, "id").groupBy("key").agg(F.min("id").alias("least"), F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
-    pivots = written(pivots.select("key", "least", (-F.col("top.minus")).alias("top")), "pivots")
-    met = shared.join(pivots, "key")
-    pairs = met.select("id", F.explode(F.array("least", "top")).alias("pivot")).where("id <> pivot")
-    pairs = written(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+    pairs = _central(shared)
     texts = docs.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("texts"))
     sets = written(texts.mapInArrow(_sets, "id long, shingles array<int>"), "sets")
     links = written(_alike(pairs, sets, similarity), "links")
-    others = met.where("id <> least AND id <> top").select("id", "key")
-    links = links.unionByName(_across(others, components(links), sets, similarity))
+    links = links.unionByName(_across(shared.select("id", "key"), components(links), sets, similarity))
     roots = components(written(links, "links")).withColumnRenamed("node", "id")
-    for gone in (shared, pivots, pairs, sets):
+    for gone in (shared, pairs, sets):
         drop(gone)
     return copies.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("kept_id")).where("doc_id <> kept_id").distinct()
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from sievespark.llm import golay, passages, simhash
@@ -166,6 +167,52 @@ def test_near_copies_of_one_base(spark):
     assert got == {i: want.find(i) for i, _ in rows if want.find(i) != i}
 
 
+def test_rows_of_a_large_group_of_versions(spark, monkeypatch):
+    """Rows grow with the members of a group, however many keys they share, and no link is lost, also where a key takes several blocks."""
+    rng, written, made = random.Random(8), simhash.written, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    base, texts, want = prose(rng, 200), [], Groups()
+    for _ in range(240):
+        text = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 9)):
+            text[at] = rng.choice(VOCABULARY)
+        texts.append(text)
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want.join(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "written", counted)
+    for block in (simhash.BLOCK, 32):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.kept_id for r in simhash.near_copies(docs).collect()}
+        assert got == {i: want.find(i) for i in range(len(texts)) if want.find(i) != i} and 20 < len(got) < 230
+        assert made["shared"] > 10 * len(texts) and made["pairs"] <= len(texts)
+
+
+def test_links_of_a_cell():
+    """A cell whose documents are all alike and not linked yet gives a link a document, not one a pair."""
+    n, same = 60, np.arange(50, dtype=np.int32)
+
+    def links(rows):
+        rows = [{"id": i, "key": 7, "root": i, "i": 0, "j": 0, "kind": kind, "shingles": same.tolist()} for i, kind in rows]
+        types = [("id", pa.int64()), ("key", pa.int64()), ("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("kind", pa.int32()), ("shingles", pa.list_(pa.int32()))]
+        batches = pa.Table.from_pylist(rows, pa.schema(types)).to_batches(max_chunksize=25)
+        return [pair for out in simhash._met(0.8)(iter(batches)) for pair in zip(*(out.column(c).to_pylist() for c in "ab"), strict=True)]
+
+    for rows in ([(i, kind) for kind in (0, 1) for i in range(n)], [(i, 2) for i in range(n)]):
+        got, joined = links(rows), Groups()
+        for a, b in got:
+            joined.join(a, b)
+        assert len(got) == n - 1 and {joined.find(i) for i in range(n)} == {0}
+
+
 def test_members_of_another_block():
     """A document that is no member itself: its shingles that no member holds count for none."""
     rng = np.random.default_rng(3)
