@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words remembered by a worker, as they stand and as stems. What is full loses its older half; results do not depend on it.
 MEMORY, STEMS = 400_000, 1_200_000
-#: Characters of text handled at a time.
-CHUNK = 1 << 20
+#: Characters of text handled at a time, and where equal words are found by columns.
+CHUNK, WIDE = 1 << 20, 1 << 22
 
-MARKS = ".,!?;:|"
+MARKS = string.punctuation
 _letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_lower = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 def chunks(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
@@ -48,13 +50,86 @@ def drops_space(spec: dict) -> bool:
     return plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not spec.get("post_processor") and not spec.get("truncation")
 
 
+# By byte of UTF-8: whether Latin-1 letters have it (a letter beyond ASCII is 0xC3 and one more, of which 0x97 and 0xB7 are signs),
+# whether it is a mark, and what it is in lower case within such letters.
+_LETTER, _MARK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[[*string.ascii_letters.encode(), 0xC3, *range(0x80, 0xC0)]] = True
+_LETTER[[0x97, 0xB7]] = False
+_MARK[[*MARKS.encode()]] = True
+_LOWER[[*string.ascii_uppercase.encode(), *range(0x80, 0x9F)]] += 0x20
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings and where each begins, with the end."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def cut_words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words between spaces and line feeds, none empty, equal ones by one index; and where each text's words begin, with the end."""
+    data, edges = _flat(pa.array(texts, pa.large_string()))
+    gap = (data == 32) | (data == 10)
+    gaps, left = np.flatnonzero(gap), data[~gap]
+    edges = edges - np.searchsorted(gaps, edges)
+    begins = np.zeros(len(left) + 1, bool)
+    begins[gaps - np.arange(len(gaps))] = True
+    begins[edges] = True
+    begins[-1] = True
+    offsets = np.flatnonzero(begins)
+    return _strings(left, offsets).dictionary_encode(), np.searchsorted(offsets, edges)
+
+
+def cut_marks(words: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Which words are Latin-1 letters and then marks, if any; their letters in lower case; their marks.
+
+    Other words, and those that are to stay ``whole``, have neither. No word is empty.
+    """
+    data, offsets = _flat(words)
+    size = np.diff(offsets)
+    place, first, end = np.arange(1, len(data) + 1), offsets[:-1], offsets[1:]
+    last = np.maximum.accumulate(np.where(_MARK[data], 0, place))  # the end of what no mark follows
+    stem = np.maximum(last[end - 1], first) if len(data) else first
+    odd = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+    plain = (odd[stem] == odd[first]) & (stem > first) & ~whole
+    in_stem = place <= np.repeat(stem, size)
+    in_plain = np.repeat(plain, size)
+    stems = _strings(_LOWER[data[in_stem & in_plain]], np.concatenate([[0], np.cumsum((stem - first) * plain)]))
+    return plain, stems, _strings(data[~in_stem & in_plain], np.concatenate([[0], np.cumsum((end - stem) * plain)]))
+
+
+class _Memory:
+    """The ids of words, of which the older half is forgotten beyond ``limit``; ``learn`` gives those of new words."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[tuple[str, bytes]]], limit: int):
+        self.learn, self.limit = learn, limit
+        self.young, self.old = {}, {}
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        found = words.dictionary_encode()
+        keys = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(self.young.get, keys))
+        missing = [k for k, code in zip(keys, codes, strict=True) if code is None]
+        if missing:
+            seen = list(map(self.old.get, missing))
+            self.young.update((k, code) for k, code in zip(missing, seen, strict=True) if code is not None)
+            self.young.update(self.learn([k for k, code in zip(missing, seen, strict=True) if code is None]))
+            codes = list(map(self.young.__getitem__, keys))
+        return pa.array(codes, pa.large_binary()).take(found.indices)
+
+
 class WordIds:
     """Ids of a tokenizer of the library ``tokenizers``: word by word where its pre-tokens never cross white space.
 
     Where ``drops_space`` does not know the tokenizer's rules, whole texts are given to the library. Where it does, the text's spaces and line feeds, which its normaliser treats alike, cut it into words; each word's ids are the
     library's own. A word of Latin-1 letters and closing marks is two pre-tokens and is put together from them; Latin-1
     and ASCII words are looked up in lower case, as the normaliser lowers them, but as they stand where their lower case
-    holds an added token.
+    holds an added token. Words are cut and put together by columns; only new ones meet the library.
     """
 
     def __init__(self, path: str, memory: int = MEMORY, stems: int = STEMS):
@@ -70,73 +145,54 @@ class WordIds:
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
         self.lettered = any(_letters.fullmatch(t.rstrip(MARKS) or "a") for t in added)
-        self.memory, self.stems, self.known = memory, stems, {}
-        self.young, self.old = {}, {}
-
-    def _learn(self, stems: list[str]) -> None:
-        """Encodes new stems. Words of lower-case letters are one pre-token each, whose last piece alone ends a word: many
-        of them are encoded as one text and told apart by their ends."""
-        plain = [s for s in stems if _lower.fullmatch(s)]
-        rest = [s for s in stems if not _lower.fullmatch(s)]
-        lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for words, code in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False), strict=True):
+        self.words, self.stems = _Memory(self._learn, memory), _Memory(self._learn_stems, stems)
+
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                yield word, np.array(code.ids, self.dtype).tobytes()
+
+    def _learn_stems(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Stems of lower-case letters are one pre-token each, whose last piece alone ends a word: many of them are encoded
+        as one text and told apart by their ends."""
+        if "" in stems:
+            yield "", b""
+            stems = [s for s in stems if s]
+        for words, code in self._lines(stems):
             ids = np.array(code.ids, self.dtype)
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(words) or stops[-1] != len(ids):
-                rest += words
+                yield from self._learn(words)
                 continue
             raw, size = ids.tobytes(), self.dtype.itemsize
-            self.young.update((w, raw[a * size : b * size]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            for stem, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.young[stem] = np.array(code.ids, self.dtype).tobytes()
-
-    def _add(self, words: set[str]) -> None:
-        if len(self.young) > self.stems // 2:
-            self.young, self.old = {}, self.young
-        known, young, old, letters = self.known, self.young, self.old, _letters.fullmatch
-        waiting = []
-        known[""] = b""
-        for word in words:
-            if not word:
-                continue
-            stem = word.rstrip(MARKS)
-            if letters(stem) and not (self.lettered and self.added(word.lower())):
-                mark, stem = word[len(stem) :], stem.lower()
-            else:
-                mark, stem = "", word.lower() if word.isascii() and not self.added(word.lower()) else word
-            code = young.get(stem)
-            if code is None:
-                code = old.get(stem)
-                if code is None:
-                    waiting.append((word, stem, mark))
-                    continue
-                young[stem] = code
-            if mark:
-                end = young.get(mark)
-                if end is None:
-                    waiting.append((word, stem, mark))
-                    continue
-                code += end
-            known[word] = code
-        self._learn(list({part for _, *parts in waiting for part in parts if part and part not in young}))
-        for word, stem, mark in waiting:
-            known[word] = young[stem] + young[mark] if mark else young[stem]
+            yield from ((w, raw[a * size : b * size]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+
+    def _lines(self, stems: list[str]) -> Iterator[tuple[list[str], object]]:
+        lines = [stems[k : k + 256] for k in range(0, len(stems), 256)]
+        for k in range(0, len(lines), 64):
+            some = lines[k : k + 64]
+            yield from zip(some, self.tokenizer.encode_batch_fast([" ".join(w) for w in some], add_special_tokens=False), strict=True)
+
+    def _as_looked_up(self, word: str) -> str:
+        return word.lower() if word.isascii() and not self.added(word.lower()) else word
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        hidden = np.array([bool(self.added(w.lower())) for w in words.to_pylist()], bool) if self.lettered else np.zeros(len(words), bool)
+        plain, stems, marks = cut_marks(words, hidden)
+        rest = np.full(len(words), "", object)
+        rest[~plain] = [self._as_looked_up(w) for w in words.filter(pa.array(~plain)).to_pylist()]
+        return pc.binary_join_element_wise(self.stems.ids(stems), self.words.ids(marks), self.words.ids(pa.array(rest, pa.large_string())), pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of ``dtype``."""
         if not self.by_word:
             return [np.array(c.ids, self.dtype).tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        missing = words.difference(self.known)
-        if len(self.known) + len(missing) > self.memory:
-            self.known.clear()
-            missing = words
-        if missing:
-            self._add(missing)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        words, firsts = cut_words(texts)
+        found = self._ids(words.dictionary).take(words.indices)
+        data, offsets = _flat(found)
+        cuts = offsets[firsts].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class PieceCounts:

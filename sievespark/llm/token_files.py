@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import new_path, small_batches
-from ._tokens import WordIds, chunks, once
+from ._tokens import WIDE, WordIds, chunks, once
 
 END = 1
 _MANIFEST = "part int, name string, width int, id_type string, n_docs long, n_ids long"
@@ -36,7 +36,7 @@ def _writer(model: str, folder: str, end: int, id_type: pa.DataType):
                 out = fs.open_output_stream(f"{root}/{name}.ids")
             keys.append(batch.column("doc_id"))
             lengths: list[int] = []
-            for some in chunks(t or "" for t in batch.column("text").to_pylist()):
+            for some in chunks((t or "" for t in batch.column("text").to_pylist()), WIDE):
                 for code in coder.encode(some):
                     out.write(code + last)
                     lengths.append(len(code) // width + 1)

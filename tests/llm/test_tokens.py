@@ -1,6 +1,7 @@
 """Token files, token counts, piece encoding."""
 
 import random
+import string
 import zlib
 
 import numpy as np
@@ -40,6 +41,37 @@ def test_added_tokens_keep_their_case():
         assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    """A tokenizer that notes the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += " ".join(texts).split()
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_marks_and_capitals_cost_no_encoding():
+    own, library = WordIds(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    own.tokenizer = Counted(own.tokenizer)
+    marks = [*string.punctuation, "***", "&&&", ".'"]
+    for text in [w + m for w in ("straße", "Straße", "abend", "ABEND") for m in ("", *marks)]:
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(own.tokenizer.given) == sorted(["straße", "abend", *marks])
+
+
+@pytest.mark.parametrize("memory", [5, 10**6])
+def test_words_put_together_are_the_librarys(memory):
+    own, library, rng = WordIds(WORDS, memory, 2 * memory), tokenizers.Tokenizer.from_file(WORDS), random.Random(11)
+    parts = [*string.punctuation, *"aZÀÖ×ØßàöÞ÷øÿµª²Āſ", "\u0301", "\u0338", "the", "'S", "'ll", " ", "\n", "7", "\0", "\x7f", "\x85", "<|endoftext|>", "<|EndOfText|>"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    for k in range(0, len(some), 100):
+        got, want = own.encode(some[k : k + 100]), library.encode_batch_fast(some[k : k + 100], add_special_tokens=False)
+        assert [np.frombuffer(g, own.dtype).tolist() for g in got] == [w.ids for w in want]
+    assert own.encode([]) == [] and own.encode(["", " \n "]) == [b"", b""]
+
+
 @pytest.mark.parametrize("memory", [5, 10**6])
 def test_counts_are_the_librarys(memory):
     own, library = PieceCounts(MODEL, memory), sentencepiece.SentencePieceProcessor(model_file=MODEL)
