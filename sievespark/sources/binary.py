@@ -232,7 +232,8 @@ def write_tags(tags: DataFrame, folder: str) -> int:
     _open(folder, "")
     rows = tags.select(F.col("tag_id").cast("long").alias("tag_id"), F.col("id").cast("long").alias("id")).distinct()
     sizes = rows.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"))
-    laid = rows.join(sizes, "tag_id").repartition("tag_id").sortWithinPartitions("tag_id", "id")
+    # by a hash: were it the join's own key, Spark would drop this shuffle and might then read a tag's rows in several tasks
+    laid = rows.join(sizes, "tag_id").repartition(F.xxhash64("tag_id")).sortWithinPartitions("tag_id", "id")
     return laid.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
 
 

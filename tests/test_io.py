@@ -16,6 +16,21 @@ def test_tags(spark, tmp_path):
     assert sorted(tuple(r) for r in binary.read(spark, "tags", folder).collect()) == sorted(rows)
 
 
+def test_tags_of_a_join_that_turns_into_a_broadcast(spark, tmp_path):
+    """Adaptive execution then reads the shuffles of the join map by map: a tag must still come to one task."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(40_000).repartition(8).select((F.col("id") % 3).alias("tag_id"), "id")
+        folder = f"file://{tmp_path}/tags"
+        assert binary.write_tags(rows, folder) == 3
+        assert binary.read(spark, "tags", folder).exceptAll(rows).count() == 0 and binary.read(spark, "tags", folder).count() == 40_000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_queries_and_truth(spark, tmp_path):
     folder = f"file://{tmp_path}"
     path = binary.write_queries(spark.createDataFrame([(7, 1), (7, 4), (9, 2)], "query_id long, tag_id long"), folder)
