@@ -7,20 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bits import has, word_of
+from ._nearest import search_blocks
 from .algebra import request_classes
 
-#: Rows that meet in one block of queries and one of vectors.
-BLOCK_QUERIES, BLOCK_VECTORS = 4096, 4096
-
-
-def squared(a: str, b: str) -> Column:
-    """Squared Euclidean distance in double precision, summed from the first component on."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+#: Queries that a task holds, and vectors that stream past them; each block of the ones meets each of the others.
+BLOCK_QUERIES, BLOCK_VECTORS = 4096, 32768
 
 
 def top(rows: DataFrame, k: int, rank: str = "rank") -> DataFrame:
-    """The ``k`` nearest rows (query_id, id, dist) of each query, ties to the smaller id; cut within tasks before the shuffle."""
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
+    """The ``k`` nearest rows (query_id, id, dist) of each query, ties to the smaller id, null distances last; cut within tasks before the shuffle."""
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("dist"), "id"))
     return rows.withColumn(rank, at).where(F.col(rank) <= k)
 
 
@@ -35,20 +31,23 @@ def _every(n: int) -> Column:
 def _in_blocks(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> DataFrame:
     """(query_id, rank, id, dist) over queries (query_id, embedding) and vectors (id, embedding) that agree in ``on``.
 
-    Each block of vectors meets each block of queries once, in a join by both and ``on``, so no task holds more than
-    a block of each of one value, however many rows have it; top-k is taken in each block first, and a query's shuffled
-    candidates are k a block.
+    Each block of vectors meets each block of queries once. A task holds the queries of one block and value, the vectors stream past
+    them, and a matrix product tells which pairs may be among the nearest; only their distances are summed, in double precision and
+    from the first component on. A query's shuffled candidates are k a block. Components that are null or missing on one
+    side do not count.
     """
     n, m = (max(1, -(-rows.count() // size)) for rows, size in ((vectors, BLOCK_VECTORS), (queries, BLOCK_QUERIES)))
-    held = vectors.where("embedding IS NOT NULL").select("id", *on, "embedding", _blocks("id", n).alias("i"), _every(m).alias("j"))
-    asked = queries.where("embedding IS NOT NULL").select("query_id", *on, F.col("embedding").alias("q"), _every(n).alias("i"), _blocks("query_id", m).alias("j"))
-    pairs = held.join(asked, [*on, "i", "j"]).where("id <> query_id").select("query_id", "i", "id", squared("q", "embedding").alias("dist"))
-    first = F.row_number().over(Window.partitionBy("query_id", "i").orderBy("dist", "id"))
-    return top(pairs.withColumn("r", first).where(F.col("r") <= k).select("query_id", "id", "dist"), k).select("query_id", "rank", "id", "dist")
+    same = " AND ".join(f"`{c}` IS NOT NULL" for c in [*on, "embedding"])
+    block = F.to_json(F.struct(*on, "i", "j")).alias("block")
+    held = vectors.where(same).select("id", *on, "embedding", _blocks("id", n).alias("i"), _every(m).alias("j"))
+    asked = queries.where(same).select(F.col("query_id").alias("id"), *on, "embedding", _every(n).alias("i"), _blocks("query_id", m).alias("j"))
+    sides = [rows.select(block, F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "embedding") for kind, rows in ((0, asked), (1, held))]
+    laid = sides[0].unionByName(sides[1]).repartition("block").sortWithinPartitions("block", "kind", "id")
+    return top(laid.mapInArrow(search_blocks(k), "query_id long, id long, dist double"), k).select("query_id", "rank", "id", "dist")
 
 
 def search_within(queries: DataFrame, vectors: DataFrame, on: str, k: int) -> DataFrame:
-    """(query_id, rank, id, dist): nearest vectors that share the query's value of ``on``; an equi-join on the filter, in blocks."""
+    """(query_id, rank, id, dist): nearest vectors that share the query's value of ``on``; in blocks within each value."""
     return _in_blocks(queries, vectors, [on], k)
 
 
@@ -69,10 +68,19 @@ def search_filtered(queries: DataFrame, vectors: DataFrame, allowed: DataFrame,
     return _in_blocks(asked, rows.select("class_id", "id", "embedding"), ["class_id"], k)
 
 
-def search_after(queries: DataFrame, vectors: DataFrame, passing: DataFrame, k: int, factor: int) -> DataFrame:
-    """Over-retrieval: the k * factor nearest of all, of which the first k that pass (query_id, id) remain."""
+def search_after(queries: DataFrame, vectors: DataFrame, passing: DataFrame | str, k: int, factor: int) -> DataFrame:
+    """Over-retrieval: the k * factor nearest of all, of which the first k that pass remain.
+
+    What passes is given as pairs (query_id, id), or as a column in which both have to agree: then it is looked up for the near rows
+    only, and no query is paired with all vectors of its value.
+    """
     near = search_all(queries, vectors, k * factor).select("query_id", "id", "dist")
-    return top(near.join(passing.select("query_id", "id"), ["query_id", "id"], "left_semi"), k).select("query_id", "rank", "id", "dist")
+    if isinstance(passing, str):
+        own = near.join(queries.select("query_id", F.col(passing).alias("own")).distinct(), "query_id")
+        kept = own.join(vectors.select("id", F.col(passing).alias("own")), ["id", "own"], "left_semi")
+    else:
+        kept = near.join(passing.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    return top(kept.select("query_id", "id", "dist"), k).select("query_id", "rank", "id", "dist")
 
 
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -104,6 +104,41 @@ def test_search_in_blocks_and_through_sets(spark, monkeypatch):
         assert [r.id for r in sorted(every, key=lambda r: r["rank"]) if r.query_id == q] == near
 
 
+def test_search_makes_no_row_a_pair(spark, monkeypatch):
+    """Against brute force, with ties, odd components and several blocks; pairs meet in tasks and not in a join."""
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 100)
+    rng = np.random.default_rng(3)
+    points = [[float(x) for x in p] for p in rng.integers(0, 4, size=(250, 5))]
+    points[7], points[50], points[60], points[61], points[100] = [1.0, None, 2.0, 0.0, 1.0], [float("nan"), 1.0, 1.0, 1.0, 1.0], [None] * 5, [2.0, 1.0], [1e200, 1.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(k, k % 2, p) for k, p in enumerate(points)], "id long, label int, embedding array<double>")
+    asked = df.where("id % 25 = 0").select(F.col("id").alias("query_id"), "label", "embedding")
+    held = np.array([[np.nan if x is None else x for x in p + [None] * (5 - len(p))] for p in points])
+    there = np.array([[x is not None for x in p + [None] * (5 - len(p))] for p in points])
+
+    def near(q, allowed, k):
+        def key(i):
+            both = there[q] & there[i]
+            d = sum(((held[q, c] - held[i, c]) ** 2 for c in range(5) if both[c]), 0.0)
+            return (not both.any(), np.isnan(d), 0.0 if np.isnan(d) else d, i)
+
+        return sorted(allowed - {q}, key=key)[:k]
+
+    def got(found):
+        rows = sorted((r.query_id, r["rank"], r.id) for r in found.collect())
+        return {q: [i for p, _, i in rows if p == q] for q in range(0, 250, 25)}
+
+    every, label = set(range(250)), lambda q: {i for i in range(250) if i % 2 == q % 2}
+    found = search.search_all(asked, df, 20)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == {q: near(q, every, 20) for q in range(0, 250, 25)}
+    assert got(search.search_all(asked, df, 400)) == {q: near(q, every, 400) for q in range(0, 250, 25)}
+    assert got(search.search_within(asked, df, "label", 6)) == {q: near(q, label(q), 6) for q in range(0, 250, 25)}
+    after = {q: [i for i in near(q, every, 20) if i in label(q)][:5] for q in range(0, 250, 25)}
+    assert got(search.search_after(asked, df, "label", 5, 4)) == after
+    pairs = spark.createDataFrame([(q, i) for q in range(0, 250, 25) for i in label(q)], "query_id long, id long")
+    assert got(search.search_after(asked, df, pairs, 5, 4)) == after
+
+
 @pytest.mark.parametrize("kind", results.FORMATS)
 def test_results(spark, tmp_path, kind):
     rows = [(1, "a, \"b\"", 0.1), (2, None, None), (3, "two\nlines" if kind == "json" else "x", 1e-300)]
