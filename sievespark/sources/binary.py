@@ -92,21 +92,59 @@ class TagReader(_Reader):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tag, np.int64)), pa.array(ids.astype(np.int64))], names=["tag_id", "id"])
 
 
+@dataclass
+class Records(Rows):
+    """Words ``start`` to ``stop`` of a file of records, which begin with the record of query ``first``."""
+
+    first: int = 0
+
+
 class QueryReader(_Reader):
-    """Records have no fixed size, so a file is one partition, read to its end."""
+    """Records have no fixed size: planning walks the file block by block, hopping from size to size, and cuts it between records."""
 
     def partitions(self) -> list[Rows]:
-        return [Rows(path, 0, 1) for path in self.files()[1]] or [Rows("", 0, 0)]
+        fs, paths = self.files()
+        found = []
+        for path in paths:
+            with fs.open_input_file(path) as f:
+                found += self.cuts(f, path)
+        return found or [Rows("", 0, 0)]
 
-    def batch(self, f, start, stop):
-        words = np.frombuffer(f.readall(), "<u4")
-        queries, tags, at = [], [], 1
-        for q in range(int(words[0])):
-            n = int(words[at])
-            queries.append(np.full(n, q, np.int64))
-            tags.append(words[at + 1 : at + 1 + n].astype(np.int64))
-            at += 1 + n
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *queries])), pa.array(np.concatenate([np.zeros(0, np.int64), *tags]))], names=["query_id", "tag_id"])
+    def cuts(self, f, path: str) -> list[Records]:
+        queries, size = int(_numbers(f, "<u4", 1, 0)[0]), f.size() // 4
+        found, at, q, start, first = [], 1, 0, 1, 0
+        while q < queries:
+            if at >= size:
+                raise ValueError(f"{path} ends before its last query")
+            words = _numbers(f, "<u4", min(SPLIT, size - at), 4 * at).tolist()
+            k, n = 0, len(words)
+            while k < n and q < queries:
+                k += words[k] + 1
+                q += 1
+            at += k
+            if at - start >= SPLIT or q == queries:
+                found.append(Records(path, start, at, first))
+                start, first = at, q
+        if at > size:
+            raise ValueError(f"{path} ends within a query")
+        return found
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        if partition.start == partition.stop:
+            return
+        fs, _ = pyarrow.fs.FileSystem.from_uri(self.uri)
+        with fs.open_input_file(partition.path) as f:
+            words = _numbers(f, "<u4", partition.stop - partition.start, 4 * partition.start)
+        sizes_at, k = [], 0
+        hops = words.tolist()
+        while k < len(hops):
+            sizes_at.append(k)
+            k += hops[k] + 1
+        tags = np.ones(len(words), bool)
+        tags[sizes_at] = False
+        names, values = np.repeat(partition.first + np.arange(len(sizes_at)), words[sizes_at]), words[tags]
+        for a in range(0, len(values), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + BATCH].astype(np.int64)), pa.array(values[a : a + BATCH].astype(np.int64))], names=["query_id", "tag_id"])
 
 
 class TruthReader(_Reader):

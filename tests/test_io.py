@@ -41,6 +41,24 @@ def test_queries_and_truth(spark, tmp_path):
     assert binary.read(spark, "truth", path).where("rank = 1").count() == 2
 
 
+def test_queries_are_cut_between_records(tmp_path, monkeypatch):
+    """No part holds all of a file, whatever the records' sizes; a file that ends early is an error."""
+    monkeypatch.setattr(binary, "SPLIT", 8)
+    sizes = [3, 0, 1, 20, 2, 0, 0, 7, 1] * 5
+    want, words = [], [len(sizes)]
+    for q, n in enumerate(sizes):
+        words += [n, *range(q, q + n)]
+        want += [(q, t) for t in range(q, q + n)]
+    np.array([*words, 99, 99], "<u4").tofile(tmp_path / "queries.bin")
+    reader = binary.QueryReader(f"file://{tmp_path}/queries.bin")
+    parts = reader.partitions()
+    assert len(parts) > 5 and max(p.stop - p.start for p in parts) <= 8 + 21 + 8
+    assert [(q, t) for p in parts for b in reader.read(p) for q, t in zip(*(c.to_pylist() for c in b.columns), strict=True)] == want
+    np.array(words[:-1], "<u4").tofile(tmp_path / "queries.bin")
+    with pytest.raises(ValueError):
+        reader.partitions()
+
+
 def test_vectors_and_sparse(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(binary, "SPLIT", 2)
     folder = f"file://{tmp_path}"
