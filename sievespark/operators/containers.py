@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.bits import CONTAINER, FULL, WORD, WORDS_PER_CONTAINER, bit_of, key_of, low_of
+from ..functions.bits import CONTAINER, FULL, WORD, WORDS_PER_CONTAINER
 from ..functions.policy import ALL, ARRAY, BITMAP, CACHE_BYTES, ENTRY_BYTES, KEEP, RUN, auto_threshold, encoding, payload_bytes, promotes
 from .ingest import to_words
 
@@ -49,24 +49,34 @@ def word_runs(words: DataFrame) -> DataFrame:
 
 
 def sizes(members: DataFrame) -> DataFrame:
-    """(filter_id, key, card, n_runs): a full container has 65,536 ids and one run. Ids are packed before they are shuffled."""
-    found = _edges(to_words(members)).groupBy("filter_id", "key")
-    return found.agg(F.sum(F.bit_count("word")).cast("int").alias("card"), F.sum(F.bit_count("first")).cast("int").alias("n_runs"))
+    """(filter_id, key, card, n_runs, n_words): a full container has 65,536 ids and one run."""
+    return word_sizes(to_words(members))
+
+
+def word_sizes(words: DataFrame) -> DataFrame:
+    """The same of words."""
+    found = _edges(words).groupBy("filter_id", "key")
+    return found.agg(F.sum(F.bit_count("word")).cast("int").alias("card"), F.sum(F.bit_count("first")).cast("int").alias("n_runs"), F.count(F.lit(1)).cast("int").alias("n_words"))
 
 
 def build(members: DataFrame, threshold: int = KEEP, with_runs: bool | None = None) -> DataFrame:
     """Containers with their payload. A container is at most 65,536 ids, so a payload is bounded whatever the set."""
+    return build_words(to_words(members), threshold, with_runs)
+
+
+def build_words(words: DataFrame, threshold: int = KEEP, with_runs: bool | None = None) -> DataFrame:
+    """The same of words."""
     if threshold < 0:
         raise ValueError("an automatic threshold has to be resolved for a universe: build_auto, promote_auto")
-    found = runs(members)
+    found = word_runs(words)
     each = found.groupBy("filter_id", "key").agg(
         F.sum(F.col("length") + 1).cast("int").alias("card"), F.count(F.lit(1)).cast("int").alias("n_runs"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")
     )
     lows = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"])))
     each = each.withColumn("ctype", encoding(F.col("card"), F.col("n_runs"), threshold, with_runs)).withColumn("lows", F.when(F.col("ctype") != RUN, lows))
-    words = members.groupBy("filter_id", key_of(F.col("id")).alias("key"), F.shiftright(low_of(F.col("id")), 5).alias("pos")).agg(F.bit_or(bit_of(F.col("id"))).alias("word"))
-    words = words.groupBy("filter_id", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
-    out = each.join(words, ["filter_id", "key"])
+    key, pos = F.floor(F.col("word_idx") / WORDS_PER_CONTAINER).cast("int"), F.col("word_idx").bitwiseAND(WORDS_PER_CONTAINER - 1).cast("int")
+    bits = words.groupBy("filter_id", key.alias("key")).agg(F.sort_array(F.collect_list(F.struct(pos.alias("pos"), "word"))).alias("words"))
+    out = each.join(bits, ["filter_id", "key"])
     keep = {"arr": (ARRAY, "lows"), "runs": (RUN, "runs"), "words": (BITMAP, "words")}
     return out.select("filter_id", "key", "ctype", "card", "n_runs", *[F.when(F.col("ctype") == kind, F.col(c)).alias(name) for name, (kind, c) in keep.items()])
 
@@ -106,11 +116,11 @@ def build_auto(members: DataFrame, universe: int, cache_bytes: int = CACHE_BYTES
     return held.join(small, "filter_id", "left_anti").unionByName(promote(held.join(small, "filter_id", "left_semi"), ALL))
 
 
-def meta(containers: DataFrame) -> DataFrame:
-    """One row a set: containers of each kind, ids, and bytes of the compressed form."""
+def meta(containers: DataFrame, *more: Column) -> DataFrame:
+    """One row a set: containers of each kind, ids, and bytes of the compressed form; and ``more`` aggregates."""
     kind = lambda k: F.count_if(F.col("ctype") == k).alias(f"n_{k.lower()}")
     size = F.sum(payload_bytes(F.col("ctype"), F.col("card"), F.col("n_runs")) + ENTRY_BYTES)
-    return containers.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_containers"), kind(ARRAY), kind(BITMAP), kind(RUN), F.sum("card").alias("cardinality"), size.alias("bytes"))
+    return containers.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_containers"), kind(ARRAY), kind(BITMAP), kind(RUN), F.sum("card").alias("cardinality"), size.alias("bytes"), *more)
 
 
 def typed(members_: DataFrame, threshold: int = KEEP) -> DataFrame:

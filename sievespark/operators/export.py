@@ -12,9 +12,9 @@ from .ingest import to_words
 
 def enumerate_ids(words: DataFrame) -> DataFrame:
     """The ids of words (word_idx, word, ...), one row each, with the other columns. Order is the reader's affair."""
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.call_function("getbit", F.col("word"), b) == 1))
     rest = [c for c in words.columns if c not in ("word_idx", "word")]
-    return words.select(*rest, "word_idx", bit.alias("bit")).select(*rest, (F.col("word_idx") * WORD + F.col("bit")).alias("id"))
+    rows = words.select(*rest, "word_idx", "word", F.explode(F.array(*[F.lit(b) for b in range(WORD)])).alias("bit"))
+    return rows.where(F.call_function("getbit", F.col("word"), F.col("bit")) == 1).select(*rest, (F.col("word_idx") * WORD + F.col("bit")).alias("id"))
 
 
 def indptr(words: DataFrame) -> DataFrame:

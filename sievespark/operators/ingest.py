@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def from_ids(df: DataFrame, filter_id: Column, id_: Column, universe: int | None
 
 
 def from_predicates(df: DataFrame, id_: Column, predicates: dict[str, Column]) -> DataFrame:
-    """Rows (filter_id, id) of all predicates in one scan; ids may repeat."""
+    """Rows (filter_id, id) of all predicates in one scan; ids may repeat. For words, ``predicate_words`` is less."""
     named = F.array(*[F.when(p, F.lit(name)) for name, p in predicates.items()])
-    return df.select(id_.cast("long").alias("id"), F.explode(F.array_compact(named)).alias("filter_id")).where("id IS NOT NULL").select("filter_id", "id")
+    return df.select(id_.cast("long").alias("id"), F.explode(named).alias("filter_id")).where("id IS NOT NULL AND filter_id IS NOT NULL").select("filter_id", "id")
 
 
 def to_words(members: DataFrame) -> DataFrame:
@@ -30,15 +32,35 @@ def to_words(members: DataFrame) -> DataFrame:
 
 
 def wide_words(df: DataFrame, id_: Column, predicates: dict[str, Column]) -> DataFrame:
-    """(word_idx, one word a predicate): many filters of one table side by side, in one scan and one shuffle."""
-    rows = df.select(id_.cast("long").alias("id"), *[p.alias(name) for name, p in predicates.items()]).where("id IS NOT NULL")
-    bit = bit_of(F.col("id"))
-    return rows.groupBy(word_of(F.col("id")).alias("word_idx")).agg(*[F.coalesce(F.bit_or(F.when(F.col(name), bit)), F.lit(0)).cast("long").alias(name) for name in predicates])
+    """(word_idx, one word a predicate): many filters of one table side by side, in one scan and one shuffle.
+
+    A row's answers travel as bits of a number. Rows are shuffled before they are combined: ids in no order hardly meet before, and a
+    task that reads many would hold most words of the universe; after it, each task holds its share.
+    """
+    names, per = list(predicates), 60
+    mask = lambda some: reduce(lambda a, b: a.bitwiseOR(b), [F.when(predicates[n], F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, n in enumerate(some)])
+    masks = {f"m{a // per}": mask(names[a : a + per]) for a in range(0, len(names), per)}
+    rows = df.select(id_.cast("long").alias("id"), *[m.alias(c) for c, m in masks.items()]).where("id IS NOT NULL AND (" + " OR ".join(f"{c} <> 0" for c in masks) + ")")
+    rows = rows.select(word_of(F.col("id")).alias("word_idx"), bit_of(F.col("id")).alias("bit"), *masks).repartition("word_idx")
+    own = lambda k: F.bit_or(F.when(F.call_function("getbit", F.col(f"m{k // per}"), F.lit(k % per)) == 1, F.col("bit")))
+    return rows.groupBy("word_idx").agg(*[F.coalesce(own(k), F.lit(0)).cast("long").alias(n) for k, n in enumerate(names)])
+
+
+def predicate_words(df: DataFrame, id_: Column, predicates: dict[str, Column]) -> DataFrame:
+    """(filter_id, word_idx, word) of all predicates: ``wide_words``, a row a set. Ids are never rows a set."""
+    each = F.array(*[F.struct(F.lit(n).alias("filter_id"), F.col(n).alias("word")) for n in predicates])
+    rows = wide_words(df, id_, predicates).select("word_idx", F.explode(each).alias("s"))
+    return rows.select("s.filter_id", "word_idx", "s.word").where("word <> 0")
 
 
 def catalog(members: DataFrame, universe: int) -> DataFrame:
     """One row a set: universe, cardinality, whether it is stored as its complement, and how many ids that stores."""
-    counts = to_words(members).groupBy("filter_id").agg(F.sum(popcount(F.col("word"))).alias("cardinality")).withColumn("universe", F.lit(universe).cast("long"))
+    return word_catalog(to_words(members), universe)
+
+
+def word_catalog(words: DataFrame, universe: int) -> DataFrame:
+    """The same of words."""
+    counts = words.groupBy("filter_id").agg(F.sum(popcount(F.col("word"))).alias("cardinality")).withColumn("universe", F.lit(universe).cast("long"))
     negated = is_dense(F.col("cardinality"), F.col("universe"))
     stored = F.when(negated, F.col("universe") - F.col("cardinality")).otherwise(F.col("cardinality"))
     return counts.select("filter_id", "universe", negated.alias("negated"), "cardinality", stored.alias("stored"))

@@ -10,7 +10,7 @@ from ..functions import policy
 from ..operators import algebra, containers, export, ingest
 from .catalogue import query
 from .expr import Filter, evaluate, rewrite
-from .tables import EVENT_U, LINE_ID, LINE_U, RUNS, SIZES, WORDS, event_members, event_universe, events_sql, line_members, line_predicates, line_universe, line_words, lines_sql, table
+from .tables import EVENT_U, LINE_ID, LINE_U, RUNS, SIZES, WORDS, event_members, event_universe, event_words, events_sql, line_members, line_predicates, line_universe, line_words, lines_sql, table
 
 # -- building
 
@@ -37,12 +37,12 @@ def upload_batch_words(spark, d):
 SELECT filter_id, u AS universe, cardinality > u // 2 AS negated, cardinality, CASE WHEN cardinality > u // 2 THEN u - cardinality ELSE cardinality END AS stored FROM n, u""",
 )
 def upload_catalog(spark, d):
-    return ingest.catalog(line_members(spark, d), line_universe(spark, d))
+    return ingest.word_catalog(line_words(spark, d), line_universe(spark, d))
 
 
 @query("density_decision", f"WITH {events_sql()}, {EVENT_U} SELECT filter_id, count(DISTINCT id) > any_value(u) // 2 AS negated FROM m, u GROUP BY 1")
 def density_decision(spark, d):
-    return ingest.catalog(event_members(spark, d), event_universe(spark, d)).select("filter_id", "negated")
+    return ingest.word_catalog(event_words(spark, d), event_universe(spark, d)).select("filter_id", "negated")
 
 
 @query("upload_inferred_universe", f"WITH {lines_sql()} SELECT filter_id, ((max(id >> 16) + 1) << 16)::BIGINT AS universe FROM m GROUP BY 1")
@@ -60,12 +60,12 @@ def upload_from_words(spark, d):
 
 @query("container_types", f"WITH {lines_sql()}, {RUNS}, {SIZES} SELECT filter_id, key::INTEGER AS key, card::INTEGER AS card, n_runs::INTEGER AS n_runs, ctype FROM c")
 def container_types(spark, d):
-    return containers.typed(line_members(spark, d))
+    return containers.typed_words(line_words(spark, d)).drop("n_words")
 
 
 @query("container_runs", f"WITH {events_sql()}, {RUNS} SELECT filter_id, key::INTEGER AS key, start::INTEGER AS start, length::INTEGER AS length FROM r")
 def container_runs(spark, d):
-    return containers.runs(event_members(spark, d))
+    return containers.word_runs(event_words(spark, d))
 
 
 @query(
@@ -75,7 +75,7 @@ SELECT c.filter_id, c.key::INTEGER AS key, string_agg((id & 65535)::VARCHAR, ','
 FROM c JOIN (SELECT DISTINCT filter_id, id FROM m) m ON c.filter_id = m.filter_id AND c.key = m.id >> 16 WHERE ctype = 'ARRAY' GROUP BY ALL""",
 )
 def container_arrays(spark, d):
-    held = containers.build(event_members(spark, d, "click", "early", "third")).where("ctype = 'ARRAY'")
+    held = containers.build_words(event_words(spark, d, "click", "early", "third")).where("ctype = 'ARRAY'")
     return held.select("filter_id", "key", F.array_join("arr", ",").alias("lows"))
 
 
@@ -85,7 +85,7 @@ def container_arrays(spark, d):
 FROM c, (SELECT unnest([0, 100, 4096, 8000]) AS t) GROUP BY ALL""",
 )
 def container_thresholds(spark, d):
-    found = containers.sizes(line_members(spark, d))
+    found = containers.word_sizes(line_words(spark, d))
     kinds = [F.struct(F.lit(t).alias("threshold"), policy.encoding(F.col("card"), F.col("n_runs"), t).alias("kind")) for t in (0, 100, 4096, 8000)]
     return found.select(F.explode(F.array(*kinds)).alias("k")).groupBy("k.threshold", "k.kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -96,22 +96,22 @@ _META = """count(*) AS n_containers, count(*) FILTER (ctype = 'ARRAY') AS n_arra
 
 @query("filter_meta", f"WITH {lines_sql()}, {RUNS}, {SIZES} SELECT filter_id, {_META} FROM c GROUP BY 1")
 def filter_meta(spark, d):
-    return containers.meta(containers.typed(line_members(spark, d)))
+    return containers.meta(containers.typed_words(line_words(spark, d)))
 
 
 @query("promote_meta", f"WITH {events_sql()}, {RUNS}, {SIZES}, p AS (SELECT filter_id, card, n_runs, 'BITMAP' AS ctype FROM c) SELECT filter_id, {_META} FROM p GROUP BY 1")
 def promote_meta(spark, d):
-    return containers.meta(containers.promote(containers.build(event_members(spark, d))))
+    return containers.meta(containers.promote(containers.build_words(event_words(spark, d))))
 
 
 @query("promote_roundtrip", f"WITH {events_sql()} SELECT DISTINCT filter_id, id FROM m")
 def promote_roundtrip(spark, d):
-    return containers.members(containers.promote(containers.build(event_members(spark, d))))
+    return containers.members(containers.promote(containers.build_words(event_words(spark, d))))
 
 
 @query("encode_roundtrip", f"WITH {events_sql()} SELECT DISTINCT filter_id, id FROM m")
 def encode_roundtrip(spark, d):
-    return containers.members(containers.build(event_members(spark, d)))
+    return containers.members(containers.build_words(event_words(spark, d)))
 
 
 @query(
@@ -128,7 +128,7 @@ def auto_threshold_table(spark, d):
 @query("promote_auto_meta", f"WITH {events_sql()}, {RUNS}, {SIZES}, g AS (SELECT unnest([1000, 1000000]) AS cache_bytes), {EVENT_U}, p AS (SELECT filter_id, cache_bytes, card, n_runs, CASE WHEN u > 0 AND (u + 7) // 8 * 2 > cache_bytes THEN 'BITMAP' ELSE ctype END AS ctype FROM c, g, u) SELECT cache_bytes::INTEGER AS cache_bytes, filter_id, {_META} FROM p GROUP BY ALL")
 def promote_auto_meta(spark, d):
     """Bitmaps where a flat bitset would outgrow the cache, the format's own encodings where it would not."""
-    held, universe = containers.build(event_members(spark, d)), event_universe(spark, d)
+    held, universe = containers.build_words(event_words(spark, d)), event_universe(spark, d)
     parts = [containers.meta(containers.promote_auto(held, universe, cache)).withColumn("cache_bytes", F.lit(cache)) for cache in (1000, 1000000)]
     return parts[0].unionByName(parts[1]).select("cache_bytes", *parts[0].columns[:-1])
 
@@ -170,13 +170,13 @@ for _op in algebra.OPS:
 
 @query("set_arrays_and", f"WITH {events_sql('click', 'high')}, {RUNS}, {SIZES}, a AS (SELECT DISTINCT m.filter_id, id FROM m JOIN c ON m.filter_id = c.filter_id AND c.key = id >> 16 WHERE ctype = 'ARRAY') SELECT (x.id >> 16)::INTEGER AS key, (x.id & 65535)::INTEGER AS low FROM a x JOIN a y ON x.id = y.id AND x.filter_id = 'click' AND y.filter_id = 'high'")
 def set_arrays_and(spark, d):
-    held = containers.build(event_members(spark, d, "click", "high"))
+    held = containers.build_words(event_words(spark, d, "click", "high"))
     return containers.arrays_and(*(held.where(F.col("filter_id") == n) for n in ("click", "high")))
 
 
 @query("set_array_with_any", f"WITH {events_sql('click', 'other', 'early')}, {RUNS}, {SIZES}, a AS (SELECT DISTINCT id FROM m JOIN c ON m.filter_id = c.filter_id AND c.key = id >> 16 WHERE ctype = 'ARRAY' AND m.filter_id = 'click') SELECT filter_id AS other, (a.id >> 16)::INTEGER AS key, (a.id & 65535)::INTEGER AS low FROM a JOIN (SELECT DISTINCT * FROM m WHERE filter_id <> 'click') b ON a.id = b.id")
 def set_array_with_any(spark, d):
-    held = containers.build(event_members(spark, d, "click", "other", "early"))
+    held = containers.build_words(event_words(spark, d, "click", "other", "early"))
     click = held.where("filter_id = 'click'")
     parts = [containers.array_with(click, held.where(F.col("filter_id") == n)).select(F.lit(n).alias("other"), "key", "low") for n in ("other", "early")]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -184,7 +184,7 @@ def set_array_with_any(spark, d):
 
 @query("set_runs_and", f"WITH {events_sql('early', 'other')}, {RUNS} SELECT x.key::INTEGER AS key, greatest(x.start, y.start)::INTEGER AS start, (least(x.start + x.length, y.start + y.length) - greatest(x.start, y.start))::INTEGER AS length FROM r x JOIN r y ON x.key = y.key AND x.start <= y.start + y.length AND y.start <= x.start + x.length WHERE x.filter_id = 'early' AND y.filter_id = 'other'")
 def set_runs_and(spark, d):
-    found = containers.runs(event_members(spark, d, "early", "other"))
+    found = containers.word_runs(event_words(spark, d, "early", "other"))
     return containers.runs_and(*(found.where(F.col("filter_id") == n) for n in ("early", "other")))
 
 

@@ -36,7 +36,7 @@ def line_members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def line_words(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    return ingest.to_words(line_members(spark, sf_dir, *names))
+    return ingest.predicate_words(table(spark, sf_dir, "lineitem"), F.expr(LINE_ID), line_predicates(*names))
 
 
 def line_universe(spark: SparkSession, sf_dir: str) -> int:
@@ -47,6 +47,10 @@ def event_members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return ingest.from_predicates(table(spark, sf_dir, "events"), F.col("event_id"), {n: F.expr(EVENTS[n]) for n in names or EVENTS})
 
 
+def event_words(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return ingest.predicate_words(table(spark, sf_dir, "events"), F.col("event_id"), {n: F.expr(EVENTS[n]) for n in names or EVENTS})
+
+
 def event_universe(spark: SparkSession, sf_dir: str) -> int:
     return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) + 1
 

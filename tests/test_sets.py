@@ -1,8 +1,10 @@
 """Sets against Python sets."""
 
 import random
+import re
 from functools import reduce
 from itertools import product
+from pathlib import Path
 
 import pytest
 from fixtures import SETS, batch, bernoulli, frame, sets_of
@@ -288,3 +290,25 @@ def test_lists_end_to_end(spark):
     rows = sorted((r.filter_id, r.key, r.ids, r.start, r.stop) for r in export.csr(frame(spark, sets)).collect())
     assert [r[3] for r in rows] == [0, 1, 3, 4, 10] and [r[4] for r in rows] == [1, 3, 4, 10, 14]
     assert [i for r in rows for i in r[2]] == [i for n in "abc" for i in sorted(sets[n])]
+
+
+def test_words_of_predicates_meet_after_the_shuffle(spark):
+    """One row an id is shuffled, not one a set; more predicates than a number has bits; ids repeated, null or in no set."""
+    rows = [(i % 5000 * 3 if i % 7 else None, i) for i in range(8000)]
+    df = spark.createDataFrame(rows, "id long, v int")
+    predicates = {f"p{k}": F.expr(f"v % {k + 2} = 1") for k in range(65)} | {"null": F.lit(None).cast("boolean"), "all": F.lit(True)}
+    words = ingest.predicate_words(df, F.col("id"), predicates)
+    want = {f"p{k}": {i for i, v in rows if i is not None and v % (k + 2) == 1} for k in range(65)} | {"all": {i for i, _ in rows if i is not None}}
+    assert sets_of(export.enumerate_ids(words)) == {n: s for n, s in want.items() if s}
+    assert sets_of(export.enumerate_ids(ingest.to_words(ingest.from_predicates(df, F.col("id"), predicates)))) == {n: s for n, s in want.items() if s}
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["upload_batch_words", "upload_catalog", "container_types", "filter_meta", "form_bytes", "tag_density", "enumerate_ids", "enumerate_indptr", "multi_and_8"])
+def test_queries_shuffle_lines_before_they_multiply(spark, name):
+    from sievespark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate") < plan.rindex("RepartitionByExpression")
