@@ -124,8 +124,39 @@ def meta(containers: DataFrame, *more: Column) -> DataFrame:
 
 
 def typed(members_: DataFrame, threshold: int = KEEP) -> DataFrame:
-    """``sizes`` with the encoding, without payloads."""
-    return sizes(members_).withColumn("ctype", encoding(F.col("card"), F.col("n_runs"), threshold))
+    """(filter_id, key, card, n_runs, ctype): sizes with the encoding, without payloads."""
+    return typed_words(to_words(members_), threshold).drop("n_words")
+
+
+def typed_words(words: DataFrame, threshold: int = KEEP) -> DataFrame:
+    """The same of words, with the number of words."""
+    return word_sizes(words).withColumn("ctype", encoding(F.col("card"), F.col("n_runs"), threshold))
+
+
+#: Positions of a page: what a probe of a container looks through.
+PAGE = 256
+
+
+def pages(containers: DataFrame) -> DataFrame:
+    """(filter_id, key, page, ctype, arr, runs, words): containers cut into pages, each with its part of the payload; runs end at a
+    page's end. Pages without an id have no row."""
+    own, at = containers.select("filter_id", "key", "ctype", "arr", "runs", "words"), lambda c: F.floor(c / PAGE).cast("int")
+    part = lambda page, a, b: [page.cast("int").alias("page"), a.cast("int").alias("a"), b.cast("long").alias("b")]
+    lists = own.where(F.col("ctype") == ARRAY).select("filter_id", "key", "ctype", F.explode("arr").alias("x"))
+    lists = lists.select("filter_id", "key", "ctype", *part(at(F.col("x")), F.col("x"), F.lit(0)))
+    spans = own.where(F.col("ctype") == RUN).select("filter_id", "key", "ctype", F.explode("runs").alias("r"))
+    spans = spans.select("filter_id", "key", "ctype", F.col("r.start").alias("s"), (F.col("r.start") + F.col("r.length")).alias("e"))
+    spans = spans.select("filter_id", "key", "ctype", "s", "e", F.explode(F.sequence(at(F.col("s")), at(F.col("e")))).alias("p"))
+    begin = F.greatest(F.col("s"), F.col("p") * PAGE)
+    spans = spans.select("filter_id", "key", "ctype", *part(F.col("p"), begin, F.least(F.col("e"), (F.col("p") + 1) * PAGE - 1) - begin))
+    bits = own.where(F.col("ctype") == BITMAP).select("filter_id", "key", "ctype", F.explode("words").alias("w"))
+    bits = bits.select("filter_id", "key", "ctype", *part(at(F.col("w.pos") * WORD), F.col("w.pos"), F.col("w.word")))
+    held = lists.unionByName(spans).unionByName(bits).groupBy("filter_id", "key", "page", "ctype").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    kinds = {
+        "arr": (ARRAY, F.transform("x", lambda x: x["a"])), "runs": (RUN, F.transform("x", lambda x: F.struct(x["a"].alias("start"), x["b"].cast("int").alias("length")))),
+        "words": (BITMAP, F.transform("x", lambda x: F.struct(x["a"].alias("pos"), x["b"].alias("word")))),
+    }
+    return held.select("filter_id", "key", "page", "ctype", *[F.when(F.col("ctype") == kind, c).alias(name) for name, (kind, c) in kinds.items()])
 
 
 def holds(low: Column) -> Column:

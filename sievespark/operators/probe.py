@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import has, key_of, low_of, word_of
-from .containers import holds
+from .containers import PAGE, holds, pages
 
 
 def contains(probes: DataFrame, words: DataFrame, universe: int, negated: bool = False) -> DataFrame:
@@ -27,8 +27,10 @@ def contains_each(probes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def contains_in_containers(probes: DataFrame, containers: DataFrame) -> DataFrame:
-    """The same by containers: the key by join, the position by the container's encoding."""
-    rows = probes.withColumn("key", key_of(F.col("id"))).join(containers.select("filter_id", "key", "ctype", "arr", "runs", "words"), ["filter_id", "key"], "left")
+    """The same by containers: the key and a page of 256 positions by join, the position by the container's encoding. A probe looks
+    through its page alone, not through all of a container."""
+    page = F.floor(low_of(F.col("id")) / PAGE).cast("int")
+    rows = probes.withColumns({"key": key_of(F.col("id")), "page": page}).join(pages(containers), ["filter_id", "key", "page"], "left")
     return rows.withColumn("hit", F.col("ctype").isNotNull() & holds(low_of(F.col("id")))).select(*probes.columns, "hit")
 
 

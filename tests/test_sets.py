@@ -312,3 +312,33 @@ def test_queries_shuffle_lines_before_they_multiply(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Generate") < plan.rindex("RepartitionByExpression")
+
+
+def test_pages_of_containers(spark):
+    """A probe looks through a page: of each encoding, a page holds its own positions only."""
+    sets = {"list": set(range(0, 65536, 17)), "runs": set(range(100, 60000)) - set(range(1000, 50000, 40)), "words": {i for i in range(65536) if i % 3}, "two": {5, 65536 + 300}}
+    held = containers.build(frame(spark, sets))
+    kinds = {(r.filter_id, r.key): r.ctype for r in held.collect()}
+    assert set(kinds.values()) == {"ARRAY", "RUN", "BITMAP"}
+    got = {n: set() for n in sets}
+    for r in containers.pages(held).collect():
+        assert kinds[r.filter_id, r.key] == r.ctype and [x is not None for x in (r.arr, r.runs, r.words)] == [r.ctype == c for c in ("ARRAY", "RUN", "BITMAP")]
+        low = [*(r.arr or []), *(x for s in r.runs or [] for x in range(s.start, s.start + s.length + 1)), *(32 * w.pos + b for w in r.words or [] for b in range(32) if w.word >> b & 1)]
+        assert len(set(low)) == len(low) and {x // containers.PAGE for x in low} == {r.page}
+        got[r.filter_id] |= {r.key * 65536 + x for x in low}
+    assert got == sets
+    asked = spark.range(0, 140_000).select(F.explode(F.array(*[F.lit(n) for n in [*sets, "absent"]])).alias("filter_id"), "id")
+    rows = probe.contains_in_containers(asked.union(asked.limit(3)), held).groupBy("filter_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("hit"), F.col("id"))).alias("ids"))
+    assert {r.filter_id: set(r.ids) for r in rows.collect()} == sets | {"absent": set()}
+
+
+def test_repeated_probes_stay_single_rows(spark, tmp_path):
+    """An event that comes twice asks twice; both methods' answers are of one probe, not paired by its id."""
+    from sievespark.plans.queries import QUERIES
+
+    rows = [(k % 70, "click" if k % 3 else "view", float(k)) for k in range(100)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["method_mismatches"](spark, str(tmp_path)).collect()
+    assert len(got) == 300 and not any(r.differs for r in got)
+    click = {i for i, t, _ in rows if t == "click"}
+    assert all(r.by_words == (r.id in click) for r in got if r.filter_id == "click")
