@@ -34,6 +34,20 @@ def contains_in_containers(probes: DataFrame, containers: DataFrame) -> DataFram
     return rows.withColumn("hit", F.col("ctype").isNotNull() & holds(low_of(F.col("id")))).select(*probes.columns, "hit")
 
 
+def contains_packed(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(filter_id, word_idx, word, found): asked words (filter_id, word_idx, word), each id a probe of its own set, and which of their bits
+    the set has."""
+    held = words.select("filter_id", "word_idx", F.col("word").alias("held"))
+    rows = asked.select("filter_id", "word_idx", "word").join(held, ["filter_id", "word_idx"], "left")
+    return rows.select("filter_id", "word_idx", "word", F.col("word").bitwiseAND(F.coalesce("held", F.lit(0).cast("long"))).alias("found"))
+
+
+def packed_hits(packed: DataFrame) -> DataFrame:
+    """``hits`` of packed probes."""
+    rows = packed.groupBy("filter_id").agg(F.sum(F.bit_count("word")).cast("long").alias("n"), F.sum(F.bit_count("found")).cast("long").alias("hits"))
+    return rows.select("filter_id", "n", "hits", (F.col("hits") / F.col("n")).alias("rate"))
+
+
 def hits(probes: DataFrame) -> DataFrame:
     """(filter_id, n, hits, rate) of answered probes."""
     hit = F.sum(F.col("hit").cast("long"))

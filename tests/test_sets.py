@@ -342,3 +342,12 @@ def test_repeated_probes_stay_single_rows(spark, tmp_path):
     assert len(got) == 300 and not any(r.differs for r in got)
     click = {i for i, t, _ in rows if t == "click"}
     assert all(r.by_words == (r.id in click) for r in got if r.filter_id == "click")
+
+
+def test_packed_probes(spark):
+    sets = {"a": {1, 5, 40}, "b": {100}}
+    asked = frame(spark, {"a": {1, 2, 40, 41}, "b": {1}, "absent": {7}})
+    packed = probe.contains_packed(ingest.to_words(asked), ingest.to_words(frame(spark, sets)))
+    assert sorted((r.filter_id, r.n, r.hits, r.rate) for r in probe.packed_hits(packed).collect()) == [("a", 4, 2, 0.5), ("absent", 1, 0, 0.0), ("b", 1, 0, 0.0)]
+    one_by_one = probe.hits(probe.contains_each(asked, ingest.to_words(frame(spark, sets))))
+    assert sorted(map(tuple, one_by_one.collect())) == sorted(map(tuple, probe.packed_hits(packed).collect()))
