@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.bits import FULL, WORDS_PER_CONTAINER, bit_of, popcount
+from .export import enumerate_ids
+from .ingest import to_words
 
 #: A multiplicative hash of 32 bits.
 FACTOR, MODULUS = 2654435761, 1 << 32
@@ -48,16 +53,29 @@ def probes(spark: SparkSession, universe: int, n: int, pattern: str, seed: int)
 
 
 def reordered(members: DataFrame, universe_sizes: DataFrame) -> DataFrame:
-    """(filter_id, id, new_id): ids renumbered by their rarest set, so that rare sets lie together.
+    """(filter_id, id, new_id): ids renumbered by their rarest set, so that rare sets lie together; ``universe_sizes`` is (filter_id, n)."""
+    return word_reordered(to_words(members), universe_sizes)
 
-    ``universe_sizes`` is (filter_id, n). New ids are ranks within rarity groups plus the group's base, from two
-    aggregates, so that no task orders the whole universe.
-    """
-    from pyspark.sql.window import Window
 
+def word_reordered(words: DataFrame, universe_sizes: DataFrame) -> DataFrame:
+    """The same of words.
+
+    A new id is the base of its rarity group, and of its container within the group, and of its word within the container, by running
+    sums of counts, and the bits below it: no task orders more than a container's words, or one row a container.
+    """
     rank = universe_sizes.withColumn("rank", F.row_number().over(Window.orderBy("n", "filter_id"))).select("filter_id", "rank")
-    first = members.join(rank, "filter_id").groupBy("id").agg(F.min("rank").alias("rank"))
-    sizes = first.groupBy("rank").agg(F.count(F.lit(1)).alias("size"))
-    base = sizes.select("rank", F.coalesce(F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = first.join(base, "rank").withColumn("new_id", F.col("base") + F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1)
-    return members.join(placed.select("id", "new_id"), "id").select("filter_id", "id", "new_id")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rarer = F.coalesce(F.bit_or("word").over(before("word_idx").orderBy("rank")), F.lit(0).cast("long"))
+    key = F.floor(F.col("word_idx") / WORDS_PER_CONTAINER).cast("long").alias("key")
+    own = words.join(rank, "filter_id").withColumn("first", F.col("word").bitwiseAND(rarer.bitwiseXOR(FULL))).where("first <> 0").select("rank", key, "word_idx", "first")
+    cards = own.groupBy("rank", "key").agg(F.sum(popcount(F.col("first"))).alias("n"))
+    sizes = cards.groupBy("rank").agg(F.sum("n").alias("size"))
+    zero = F.lit(0).cast("long")
+    base = sizes.select("rank", F.coalesce(F.sum("size").over(before().orderBy("rank")), zero).alias("base"))
+    begins = cards.select("rank", "key", F.coalesce(F.sum("n").over(before("rank").orderBy("key")), zero).alias("begin")).join(base, "rank")
+    inside = F.coalesce(F.sum(popcount(F.col("first"))).over(before("rank", "key").orderBy("word_idx")), zero)
+    placed = own.withColumn("inside", inside).join(begins, ["rank", "key"]).select("word_idx", "first", (F.col("base") + F.col("begin") + F.col("inside")).alias("start"))
+    # a word's groups share no bit, so a word meets 32 of them at most
+    both = words.join(placed, "word_idx").select("filter_id", "word_idx", F.col("word").bitwiseAND(F.col("first")).alias("word"), "first", "start").where("word <> 0")
+    below = F.col("first").bitwiseAND(bit_of(F.col("id")) - 1)
+    return enumerate_ids(both).select("filter_id", "id", (F.col("start") + popcount(below)).alias("new_id"))

@@ -306,7 +306,7 @@ def test_words_of_predicates_meet_after_the_shuffle(spark):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["upload_batch_words", "upload_catalog", "container_types", "filter_meta", "form_bytes", "tag_density", "enumerate_ids", "enumerate_indptr", "multi_and_8"])
+@pytest.mark.parametrize("name", ["upload_batch_words", "upload_catalog", "container_types", "filter_meta", "form_bytes", "tag_density", "enumerate_ids", "enumerate_indptr", "multi_and_8", "reorder_ids"])
 def test_queries_shuffle_lines_before_they_multiply(spark, name):
     from sievespark.plans.queries import QUERIES
 
@@ -351,3 +351,18 @@ def test_packed_probes(spark):
     assert sorted((r.filter_id, r.n, r.hits, r.rate) for r in probe.packed_hits(packed).collect()) == [("a", 4, 2, 0.5), ("absent", 1, 0, 0.0), ("b", 1, 0, 0.0)]
     one_by_one = probe.hits(probe.contains_each(asked, ingest.to_words(frame(spark, sets))))
     assert sorted(map(tuple, one_by_one.collect())) == sorted(map(tuple, probe.packed_hits(packed).collect()))
+
+
+def test_reordering_orders_no_group_in_one_task(spark):
+    sets = {"rare": set(range(7, 200_000, 501)), "mid": set(range(0, 200_000, 3)), "all": set(range(150_000))}
+    members = frame(spark, sets)
+    found = generate.reordered(members, members.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(rank#\d+L?, id#", plan)
+    order = sorted(set().union(*sets.values()), key=lambda i: (0 if i in sets["rare"] else 1 if i in sets["mid"] else 2, i))
+    new = {i: k for k, i in enumerate(order)}
+    got = {n: {} for n in sets}
+    for r in found.collect():
+        assert r.id not in got[r.filter_id]
+        got[r.filter_id][r.id] = r.new_id
+    assert got == {n: {i: new[i] for i in s} for n, s in sets.items()}
